@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import math
+import tempfile
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def plan_bytes(df: DataFrame) -> int:
@@ -30,8 +35,6 @@ def checkpoint_dir(spark: SparkSession) -> str:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
-        import tempfile
-
         given = tempfile.mkdtemp(prefix="lodestar-checkpoint-")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(given)
@@ -47,3 +50,32 @@ def cut(df: DataFrame) -> DataFrame:
 def keyed_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The two columns an operator reads, under names of its own."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
+def map_columns(docs: DataFrame, text_col: str, columns: Callable[[pa.Array], list[pa.Array]], fields: list[T.StructField]) -> DataFrame:
+    """docs with new columns made from its texts, an Arrow batch at a time.
+
+    All other columns pass through; those named as a new one are replaced.
+    """
+    names = [f.name for f in fields]
+    if text_col in names:
+        raise ValueError(f"{text_col} is both read and made")
+    docs = docs.select([c for c in docs.columns if c not in names])
+    schema = T.StructType([*docs.schema.fields, *fields])
+    arrow = T.StructType(fields)
+
+    def run(batches):
+        types = [f.type for f in to_arrow_schema(arrow)]
+        for batch in batches:
+            step = rows_for(batch.column(text_col))
+            for i in range(0, batch.num_rows, step):
+                part = batch.slice(i, step)
+                made = [x if x.type == t else x.cast(t) for x, t in zip(columns(part.column(text_col)), types)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, *names])
+
+    return docs.mapInArrow(run, schema)
+
+
+def rows_for(text: pa.Array, most: int = 8 << 20) -> int:
+    """Rows of a slice so that it holds about `most` bytes of text."""
+    return max(1, int(len(text) * most / max(most, text.nbytes)))
