@@ -2,22 +2,74 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import substring_dedup
+from . import ann, bpe, decontaminate, langid, secrets, substring_dedup
+
+RANKS = "byte_bpe_50k.tiktoken"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = decontaminate.decontaminate(docs, _table(spark, sf_dir, "benchmark"))
+    return out.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
+        (F.size("items") >= decontaminate.CONTAMINATED_ITEMS).alias("contaminated"),
+    )
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").withColumn("held_out", langid.held_out("doc_id"))
+    training = docs.where(~F.col("held_out")).select("text", "lang")
+    out = langid.identify(docs.select("doc_id", "held_out", "text"), training)
+    return out.select("doc_id", "held_out", "lang_pred", "score", "langs", "proportions")
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secrets.scan_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    f = F.col("findings")
+    spelled = lambda xs: F.concat_ws(",", F.transform(xs, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])))
+    of = lambda kind: F.size(F.filter(f, lambda x: x["kind"] == kind)).cast("long")
+    return out.select(
+        "doc_id",
+        *(of(kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")),
+        F.sha2(spelled(F.filter(f, lambda x: x["kind"] != "cnn")), 256).alias("base_sha256"),
+        spelled(f).alias("spans"),
+    )
+
+
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest_neighbours(_table(spark, sf_dir, "embeddings"))
+
+
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
+    coded = bpe.bpe_encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, pattern)
+    out = bpe.bpe_decode(coded.select("doc_id", "n_tokens", "ids"), ranks, pattern)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.substring_dedup(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 QUERIES = {
+    "op2_decontaminate": op2_decontaminate,
+    "op6_language_id": op6_language_id,
+    "op7_secret_scan": op7_secret_scan,
+    "op8_nearest_neighbours": op8_nearest_neighbours,
+    "op9_byte_bpe": op9_byte_bpe,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
