@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontaminate, langid, ngram_join, secrets, substring_dedup
+from . import ann, bpe, decontaminate, langid, line_dedup, ngram_join, secrets, sharding, substring_dedup, warc_audit
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -32,6 +32,74 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def damaged(pages: DataFrame) -> DataFrame:
+    """A second copy of pages with known damage: some bodies altered, some records lost, some added."""
+    p = F.col("page_id")
+    copy = pages.select("page_id", "url", F.when(p % 97 == 3, F.concat(F.coalesce("html", F.lit("")), F.lit("!"))).otherwise(F.col("html")).alias("html")).where(p % 101 != 5)
+    return copy.union(pages.where(p % 103 == 7).select((p + 10**12).alias("page_id"), "url", "html"))
+
+
+def op3_warc_fixity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return warc_audit.audit(pages, damaged(pages)).select("page_id", "status", "expected_sha256", "found_sha256")
+
+
+OP3_SQL = """
+WITH a AS (
+  SELECT page_id, url, html FROM pages
+), b AS (
+  SELECT page_id, url, CASE WHEN page_id % 97 = 3 THEN html || '!' ELSE html END AS html FROM pages WHERE page_id % 101 <> 5
+  UNION ALL
+  SELECT page_id + 1000000000000, url, html FROM pages WHERE page_id % 103 = 7
+), ah AS (
+  SELECT page_id, sha256('WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10)
+    || 'Content-Length: ' || CAST(strlen(html) AS VARCHAR) || chr(13) || chr(10) || chr(13) || chr(10) || html || chr(13) || chr(10) || chr(13) || chr(10)) AS h FROM a
+), bh AS (
+  SELECT page_id, sha256('WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10)
+    || 'Content-Length: ' || CAST(strlen(html) AS VARCHAR) || chr(13) || chr(10) || chr(13) || chr(10) || html || chr(13) || chr(10) || chr(13) || chr(10)) AS h FROM b
+)
+SELECT coalesce(ah.page_id, bh.page_id) AS page_id,
+       CASE WHEN bh.h IS NULL THEN 'missing' WHEN ah.h IS NULL THEN 'extra' ELSE 'altered' END AS status,
+       ah.h AS expected_sha256, bh.h AS found_sha256
+FROM ah FULL JOIN bh ON ah.page_id = bh.page_id
+WHERE ah.h IS DISTINCT FROM bh.h
+"""
+
+SHARDS = [f"shard-{i:03d}" for i in range(128)]
+
+
+def op4_shard_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.place(_table(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARDS)
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.line_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
+
+
+OP5_SQL = """
+WITH l AS (
+  SELECT doc_id, i, string_split(text, chr(10))[i] AS line
+  FROM documents, range(1, 1 + len(string_split(text, chr(10)))) AS r(i)
+), w AS (
+  SELECT doc_id, i, line, lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM l
+), c AS (
+  SELECT doc_id, i, line, nxt IS NOT NULL AND row_number() OVER (PARTITION BY line, nxt ORDER BY doc_id, i) > 1 AS starts FROM w
+), g AS (
+  SELECT doc_id, i, line, starts OR coalesce(lag(starts) OVER (PARTITION BY doc_id ORDER BY i), FALSE) AS gone FROM c
+), h AS (
+  SELECT doc_id, i, line, gone, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), FALSE) AS begins FROM g
+)
+SELECT d.doc_id,
+       CAST(count(h.i) AS BIGINT) AS n_lines,
+       CAST(count(h.i) FILTER (WHERE h.gone) AS BIGINT) AS n_removed,
+       CAST(count(h.i) FILTER (WHERE h.begins) AS BIGINT) AS n_runs,
+       sha256(coalesce(string_agg(h.line, chr(10) ORDER BY h.i) FILTER (WHERE NOT h.gone), '')) AS kept_sha256
+FROM documents d LEFT JOIN h ON d.doc_id = h.doc_id
+GROUP BY d.doc_id
+"""
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").withColumn("held_out", langid.held_out("doc_id"))
     training = docs.where(~F.col("held_out")).select("text", "lang")
@@ -71,6 +139,9 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_decontaminate": op2_decontaminate,
+    "op3_warc_fixity_audit": op3_warc_fixity_audit,
+    "op4_shard_placement": op4_shard_placement,
+    "op5_line_dedup": op5_line_dedup,
     "op6_language_id": op6_language_id,
     "op7_secret_scan": op7_secret_scan,
     "op8_nearest_neighbours": op8_nearest_neighbours,
@@ -78,4 +149,7 @@ QUERIES = {
     "op10_substring_dedup": op10_substring_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_warc_fixity_audit": OP3_SQL,
+    "op5_line_dedup": OP5_SQL,
+}
