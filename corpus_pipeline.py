@@ -1,16 +1,72 @@
-"""The corpus pipeline: its stages, each over all that the one before kept."""
+"""The corpus pipeline: from raw documents to token ids.
+
+Each stage works on all that the one before kept, and its decisions take
+effect.  All stages but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestar.llm import bpe, decontaminate, langid, line_dedup, ngram_join
+from lodestar.llm.queries import RANKS
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a language ('und': null, or no letter) go; lang is the predicted one."""
+    training = docs.where(~langid.held_out("doc_id")).select("text", "lang")
+    out = langid.identify(docs, training).where(F.col("lang_pred") != langid.UNDETERMINED)
+    return out.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of repeated runs of lines go, and documents of which nothing else was left."""
+    out = line_dedup.line_dedup(docs).where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
+    return out.withColumn("text", F.col("kept")).withColumn("n_chars", F.length("kept").cast("long")).select(*COLUMNS)
+
+
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, stays of each group of near duplicates: five-word shingles, similarity of 0.8 or more."""
+    found = ngram_join.jaccard_components(docs, shingle=5, percent=80)
+    stay = found.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("kept_id"))
+    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(*COLUMNS)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with windows of two or more benchmark items go."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    out = decontaminate.decontaminate(docs, benchmark)
+    return out.where(F.size("items") < decontaminate.CONTAMINATED_ITEMS).select(*COLUMNS)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of what is left, and what they decode to, as digests."""
+    ranks, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
+    coded = bpe.bpe_encode(docs.select("doc_id", "text"), ranks, pattern)
+    out = bpe.bpe_decode(coded.select("doc_id", "n_tokens", "ids"), ranks, pattern)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language_id),
+    ("line_dedup", dedup_lines),
+    ("ngram_jaccard_join", jaccard_join),
+    ("benchmark_decontamination", drop_contaminated),
+    ("byte_level_bpe", encode),
+]
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+#: Mixture inference and byte-pair merges are no SQL: the run is tested against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of sf_dir."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
