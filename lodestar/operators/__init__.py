@@ -1,0 +1 @@
+"""Relational operators that are more than one DataFrame call."""
