@@ -16,10 +16,10 @@ def test_run(spark, tmp_path, sf_dir):
     docs = src.limit(120).collect()
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").limit(5).collect()]
     rows = [tuple(r) for r in docs]
-    first = rows[0]
-    near = first[1].split(" ")
+    one_line = max((r[1] for r in rows), key=len)[:3000].replace("\n", " ")
+    near = one_line.split(" ")
     near[0] = "Changed"
-    rows += [(9001, None, "en", "s", 0), (9002, "12 !", "en", "s", 4), (9003, " ".join(near), "en", "s", 1), (9004, f"{items[0][1]} and {items[1][1]}", "en", "s", 1), (9005, rows[3][1], "en", "s", 1)]
+    rows += [(9000, one_line, "en", "s", len(one_line)), (9001, None, "en", "s", 0), (9002, "12 !", "en", "s", 4), (9003, " ".join(near), "en", "s", 1), (9004, f"{items[0][1]} and {items[1][1]}", "en", "s", 1), (9005, rows[3][1], "en", "s", 1)]
     spark.createDataFrame(rows, src.schema).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     where = str(tmp_path)
