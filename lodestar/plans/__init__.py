@@ -19,4 +19,4 @@ def operators(df: DataFrame) -> list[str]:
 
 
 def pushed_filters(df: DataFrame) -> list[str]:
-    return re.findall(r"PushedFilters: \[([^\]]*)\]", df._jdf.queryExecution().executedPlan().toString())
+    return re.findall(r"PushedFilters: \[([^\]]*)\]", explain(df))

@@ -13,7 +13,7 @@ from lodestar.queries import QUERIES
 def test_filter_and_columns_reach_the_scan(spark, sf_dir):
     df = QUERIES["filter_between"](spark, sf_dir)
     assert "GreaterThanOrEqual(l_discount,0.02)" in " ".join(pushed_filters(df))
-    assert re.search(r"ReadSchema: struct<l_orderkey:bigint,l_linenumber:int,l_quantity:double,l_discount:double>", explain(df, "simple"))
+    assert re.search(r"ReadSchema: struct<l_orderkey:bigint,l_linenumber:int,l_quantity:double,l_discount:double>", explain(df))
 
 
 def test_top_n_is_a_heap(spark, sf_dir):
