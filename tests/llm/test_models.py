@@ -164,6 +164,7 @@ def test_few_and_no_vectors(spark):
 def test_groups_are_cut(spark, monkeypatch):
     monkeypatch.setattr(ann, "GROUP_ROWS", 50)
     monkeypatch.setattr(ann, "GROUP_QUERIES", 3)
+    monkeypatch.setattr(ann, "ROWS_A_LIST", 60)
     r = np.random.default_rng(1)
     x = {i: v.tolist() for i, v in enumerate(r.normal(size=(600, 8)))}
     df = spark.createDataFrame(list(x.items()), "vec_id long, embedding array<double>")
