@@ -19,6 +19,26 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+OP1_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, md5(array_to_string(ws[i:i + 3], ' ')) AS h FROM w, range(1, greatest(len(ws) - 2, 2)) AS r(i) WHERE len(ws) > 0
+), n AS (
+  SELECT w.doc_id, count(s.h) AS n FROM w LEFT JOIN s ON w.doc_id = s.doc_id GROUP BY w.doc_id
+), common AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id
+), link AS (
+  SELECT x, y FROM common JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 85 * (p.n + q.n - c)
+), reach AS (
+  SELECT doc_id, doc_id AS r FROM n
+  UNION
+  SELECT reach.doc_id, link.y FROM reach JOIN link ON reach.r = link.x
+)
+SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, min(reach.r) AS component_id FROM n JOIN reach ON n.doc_id = reach.doc_id GROUP BY n.doc_id, n.n
+"""
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     out = decontaminate.decontaminate(docs, _table(spark, sf_dir, "benchmark"))
@@ -32,6 +52,28 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OP2_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark
+), iw AS (
+  SELECT DISTINCT item_id, least(len(ws), 8) AS k, array_to_string(ws[i:i + least(len(ws), 8) - 1], ' ') AS h FROM b, range(1, greatest(len(ws) - 6, 2)) AS r(i) WHERE len(ws) > 0
+), dw AS (
+  SELECT doc_id, i, k, array_to_string(ws[i:i + k - 1], ' ') AS h FROM d, (SELECT DISTINCT k FROM iw) AS ks, range(1, len(ws) - k + 2) AS r(i)
+), hit AS (
+  SELECT dw.doc_id, dw.i, dw.k, iw.item_id FROM dw JOIN iw ON dw.k = iw.k AND dw.h = iw.h
+), covered AS (
+  SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, j FROM hit, range(i, i + k) AS r(j)) GROUP BY doc_id
+), items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
+FROM d LEFT JOIN covered ON d.doc_id = covered.doc_id LEFT JOIN items ON d.doc_id = items.doc_id
+"""
+
+
 def damaged(pages: DataFrame) -> DataFrame:
     """A second copy of pages with known damage: some bodies altered, some records lost, some added."""
     p = F.col("page_id")
@@ -136,6 +178,26 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+OP10_SQL = r"""
+WITH p AS (
+  SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS j
+  FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents)
+), f AS (
+  SELECT doc_id, j, word, array_to_string(list(word) OVER v, ' ') AS span, count(*) OVER v AS size
+  FROM p WINDOW v AS (PARTITION BY doc_id ORDER BY j ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)
+), k AS (
+  SELECT doc_id, j FROM (SELECT doc_id, j, row_number() OVER (PARTITION BY span ORDER BY doc_id, j) AS rn FROM f WHERE size = 20) WHERE rn > 1
+), c AS (
+  SELECT DISTINCT doc_id, x AS j FROM k, range(j, j + 20) AS r(x)
+), g AS (
+  SELECT p.doc_id, p.j, p.word, c.j IS NOT NULL AS gone FROM p LEFT JOIN c ON p.doc_id = c.doc_id AND p.j = c.j
+)
+SELECT d.doc_id, CAST(count(g.j) AS BIGINT) AS n_words, CAST(count(g.j) FILTER (WHERE g.gone) AS BIGINT) AS n_removed,
+       sha256(coalesce(string_agg(g.word, ' ' ORDER BY g.j) FILTER (WHERE NOT g.gone), '')) AS kept_sha256
+FROM documents d LEFT JOIN g ON d.doc_id = g.doc_id GROUP BY d.doc_id
+"""
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_decontaminate": op2_decontaminate,
@@ -150,6 +212,9 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_ngram_jaccard_join": OP1_SQL,
+    "op2_decontaminate": OP2_SQL,
     "op3_warc_fixity_audit": OP3_SQL,
     "op5_line_dedup": OP5_SQL,
+    "op10_substring_dedup": OP10_SQL,
 }
