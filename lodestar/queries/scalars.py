@@ -136,3 +136,17 @@ sql(
     "SELECT n_nationkey, CAST(list_sum(list_transform([n_nationkey, 1, 2], lambda x: x * 2)) AS INTEGER) AS s FROM nation",
 )
 sql("unnest", "SELECT n_nationkey, v FROM nation LATERAL VIEW explode(array(n_regionkey, n_nationkey)) t AS v", "SELECT n_nationkey, unnest([n_regionkey, n_nationkey]) AS v FROM nation")
+
+
+@frame("math_random", "SELECT count(*) AS n, count(*) AS inside, count(*) AS repeated FROM nation")
+def math_random(t):
+    """A seed gives each row the same number each time, in [0, 1)."""
+    r = t("nation").select(F.rand(7).alias("a"), F.rand(7).alias("b"))
+    return r.agg(F.count("*").alias("n"), F.count_if((F.col("a") >= 0) & (F.col("a") < 1)).alias("inside"), F.count_if(F.col("a") == F.col("b")).alias("repeated"))
+
+
+sql(
+    "value_methods",
+    "SELECT event_id, CAST(length(event_type) AS BIGINT) AS length, get_json_object(props, '$.k') AS value, CAST(size(split(event_type, 'c')) AS BIGINT) AS size, element_at(map('a', user_id), 'a') AS got FROM events",
+    "SELECT event_id, CAST(length(event_type) AS BIGINT) AS length, json_extract_string(props, '$.k') AS value, CAST(len(string_split(event_type, 'c')) AS BIGINT) AS size, user_id AS got FROM events",
+)

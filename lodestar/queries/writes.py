@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestar.catalog import Catalog
 from lodestar.operators import constraints as C
 from lodestar.operators import dml
 from lodestar.queries.registry import Registry
-from lodestar.sources.tables import clustered, read_table
+from lodestar.sources.tables import clustered, mock, read_table
 
 registry = Registry()
 sql, frame = registry.sql, registry.frame
@@ -118,3 +119,44 @@ def index_scan(t):
 @frame("index_layout", "SELECT o_orderkey, o_orderdate FROM orders")
 def index_layout(t):
     return clustered(t("orders").select("o_orderkey", "o_orderdate"), ["o_orderdate", "o_orderkey"])
+
+
+def _work_catalog(spark):
+    c = Catalog(spark)
+    c.create_table("tools", {"id": "INT", "label": "VARCHAR(9)", "price": "DECIMAL(10,2)"}, C.TableConstraints(primary_key=["id"]), {"label": "'none'"})
+    c.create_table("parts", {"tool": "INT", "n": "BIGINT"}, C.TableConstraints(foreign_keys=[(["tool"], "tools", ["id"])]))
+    return c
+
+
+registry.queries["util_show_tables"] = lambda spark, sf_dir: _work_catalog(spark).show_tables()
+registry.oracles["util_show_tables"] = """SELECT * FROM (VALUES ('default', 'parts', 2), ('default', 'tools', 3)) AS t("database", "table", "columns")"""
+registry.queries["util_show_columns"] = lambda spark, sf_dir: _work_catalog(spark).show_columns("tools")
+registry.oracles["util_show_columns"] = """
+SELECT * FROM (VALUES ('id', 'int', FALSE, NULL), ('label', 'string', TRUE, chr(39) || 'none' || chr(39)), ('price', 'decimal(10,2)', TRUE, NULL)) AS t("column", "type", nullable, "default")
+"""
+
+
+def mock_scan(spark, sf_dir):
+    schema = T.StructType([T.StructField("n", T.IntegerType()), T.StructField("label", T.StringType()), T.StructField("x", T.DoubleType())])
+    return mock(spark, 40, schema).where("n % 3 = 1")
+
+
+registry.queries["mock_scan"] = mock_scan
+registry.oracles["mock_scan"] = "SELECT CAST(i AS INTEGER) AS n, 'label_' || i AS label, CAST(i AS DOUBLE) AS x FROM range(40) AS r(i) WHERE i % 3 = 1"
+
+
+def transaction(spark, sf_dir):
+    """Nested transactions: the inner is rolled back, the outer commits."""
+    c = _work_catalog(spark)
+    c.insert("tools", [(1, "saw"), (2, "axe")], ["id", "label"])
+    c.begin()
+    c.update("tools", {"label": F.upper("label")})
+    c.begin()
+    c.delete("tools")
+    c.rollback()
+    c.commit()
+    return c.tables["tools"].rows.select("id", "label")
+
+
+registry.queries["transaction"] = transaction
+registry.oracles["transaction"] = "SELECT * FROM (VALUES (1, 'SAW'), (2, 'AXE')) AS t(id, label)"
