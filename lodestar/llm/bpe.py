@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -22,14 +23,14 @@ from . import textkernel as K
 from .common import map_columns
 
 #: Pieces that a worker remembers, and bytes of pieces; then it starts anew.
-CACHE_PIECES = 300_000
-CACHE_BYTES = 8 << 20
+CACHE_PIECES = 200_000
+CACHE_BYTES = 4 << 20
 #: Longer pieces are merged with a heap: a matrix row would take the square of the length.
 MATRIX_LENGTH = 512
 #: Cells of one matrix at most.
 MATRIX_CELLS = 1 << 20
 #: Text bytes that are gathered at once.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 NO_RANK = np.int32(2**31 - 1)
 
 
@@ -97,9 +98,6 @@ class Codec:
 
     def __init__(self, tokens: list[bytes], pattern: str):
         self.tokens, self.pattern = tokens, regex.compile(pattern)
-        self.whole = {t: i for i, t in enumerate(tokens)}
-        self.single = np.array([self.whole[bytes([b])] for b in range(256)], dtype=np.int32)
-        self.pairs = PairTable(tokens)
         lengths = np.array([len(t) for t in tokens], dtype=np.int64)
         self.token_end = np.cumsum(lengths)
         self.token_size = lengths
@@ -113,6 +111,20 @@ class Codec:
         self.count = np.zeros(0, dtype=np.int64)
         self.bytes = 0
 
+    # What only encoding needs is made when it is first asked for.
+
+    @cached_property
+    def whole(self) -> dict[bytes, int]:
+        return {t: i for i, t in enumerate(self.tokens)}
+
+    @cached_property
+    def single(self) -> np.ndarray:
+        return np.array([self.whole[bytes([b])] for b in range(256)], dtype=np.int32)
+
+    @cached_property
+    def pairs(self) -> PairTable:
+        return PairTable(self.tokens)
+
     # -- merging ---------------------------------------------------------
 
     def merge(self, pieces: list[bytes]) -> list[np.ndarray]:

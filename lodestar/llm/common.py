@@ -52,11 +52,24 @@ def keyed_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """At most `rows` rows in an Arrow batch, unless the session already asks for fewer.
+
+    A batch of whole texts is held by the JVM and by the worker at once, so
+    Spark's 10,000 rows would be tens of megabytes several times over.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, str(rows))
+
+
 def map_columns(docs: DataFrame, text_col: str, columns: Callable[[pa.Array], list[pa.Array]], fields: list[T.StructField]) -> DataFrame:
     """docs with new columns made from its texts, an Arrow batch at a time.
 
     All other columns pass through; those named as a new one are replaced.
     """
+    bounded_batches(docs.sparkSession)
     names = [f.name for f in fields]
     if text_col in names:
         raise ValueError(f"{text_col} is both read and made")
@@ -76,6 +89,6 @@ def map_columns(docs: DataFrame, text_col: str, columns: Callable[[pa.Array], li
     return docs.mapInArrow(run, schema)
 
 
-def rows_for(text: pa.Array, most: int = 8 << 20) -> int:
+def rows_for(text: pa.Array, most: int = 4 << 20) -> int:
     """Rows of a slice so that it holds about `most` bytes of text."""
     return max(1, int(len(text) * most / max(most, text.nbytes)))

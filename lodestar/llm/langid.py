@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkernel as K
-from .common import map_columns, rows_for
+from .common import bounded_batches, map_columns, rows_for
 
 #: Bytes fall into 64 classes, so a trigram is one of 64**3 numbers.
 GRAMS = 64**3
@@ -151,6 +151,7 @@ def train(rows: DataFrame, text_col: str, lang_col: str) -> Model:
             at = np.flatnonzero(row)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(row[at], pa.int64())], names=["lang", "gram", "n"])
 
+    bounded_batches(rows.sparkSession)
     used = rows.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and text is not null")
     sums = used.mapInArrow(count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts: dict[str, np.ndarray] = {}

@@ -33,8 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import cut, keyed_text, partitions_for
-from .substring_dedup import CHUNKS_EACH, _bucket, _pack, _unpack
+from .common import bounded_batches, cut, keyed_text, partitions_for
+from .substring_dedup import BUCKETS_EACH, CHUNKS_EACH, _bucket, _pack, _unpack
 
 SHINGLE = 4
 PERCENT = 85
@@ -365,9 +365,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     columns are not read; an empty table gives an empty result.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     rows = keyed_text(docs, id_col, text_col)
     n = partitions_for(rows)
-    buckets, chunks = n, CHUNKS_EACH * n
+    buckets, chunks = BUCKETS_EACH * n, CHUNKS_EACH * n
     least = F.lit(-(2**63)).cast("long")
     # null ids take the smallest long inside
     rows = rows.select(F.coalesce("doc_id", least).alias("doc_id"), "text")

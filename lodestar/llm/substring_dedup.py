@@ -29,11 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import keyed_text, partitions_for
+from .common import bounded_batches, keyed_text, partitions_for
 
 WINDOW = 20
 #: Chunks for each shuffle partition, so that hashing chunks to partitions is even.
 CHUNKS_EACH = 3
+#: Hash ranges for each shuffle partition: a task holds one range at a time.
+BUCKETS_EACH = 2
 
 
 def _pack(h: np.ndarray) -> bytes:
@@ -178,7 +180,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows that share an id are ordered by text, and of equal rows one is first;
     an empty table gives an empty result; other columns are not read.
     """
-    spark = docs.sparkSession
+    bounded_batches(docs.sparkSession)
     rows = keyed_text(docs, id_col, text_col)
     n = partitions_for(rows)
     chunks = CHUNKS_EACH * n
@@ -189,7 +191,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return pd.Series(np.searchsorted(bounds, ids.fillna(-(2**63)).to_numpy(np.float64), side="right"), dtype="int32")
 
     rows = rows.withColumn("chunk", chunk_of("doc_id")).repartition(n, "chunk")
-    buckets = n
+    buckets = BUCKETS_EACH * n
     # All columns go in, unused ones too: the exchange below is then the same as that of the last step, and runs once.
     sent = rows.sortWithinPartitions("chunk").mapInArrow(_send(window, buckets), "chunk int, bucket int, hashes binary")
     marks = sent.repartitionById(buckets, F.col("bucket")).mapInArrow(_mark, "chunk int, bucket int, n long, bits binary")

@@ -15,7 +15,7 @@ import pyarrow as pa
 
 #: Texts are hashed in blocks of about this many bytes, so the 8-byte-a-byte
 #: temporaries stay small whatever the size of an Arrow batch.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = (1 << 19) - 1024
 
 _M64 = (1 << 64) - 1
 
