@@ -19,13 +19,16 @@ def plan_bytes(df: DataFrame) -> int:
 
 
 def partitions_for(df: DataFrame, mb: int = 8) -> int:
-    """Shuffle partitions for a plan: one for each mb megabytes of input, and
-    not fewer than the session's setting (bounded so an unknown size can't run away)."""
+    """Partitions for a plan's rows: one for each mb megabytes of input.
+
+    A smaller input gets up to the session's number, but none of under a
+    megabyte; where Catalyst doesn't know the size, the session's number counts.
+    """
     base = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = plan_bytes(df)
-    if size > 1 << 50:  # Catalyst's "unknown"
+    if size > 1 << 50:
         return base
-    return max(base, math.ceil(size / (mb << 20)))
+    return max(1, min(base, math.ceil(size / (1 << 20))), math.ceil(size / (mb << 20)))
 
 
 def checkpoint_dir(spark: SparkSession) -> str:

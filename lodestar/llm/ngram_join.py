@@ -39,7 +39,7 @@ from .substring_dedup import BUCKETS_EACH, CHUNKS_EACH, _bucket, _pack, _unpack
 SHINGLE = 4
 PERCENT = 85
 #: Shared tokens of one group of the matrix, at most about (8 bytes each).
-GROUP_TOKENS = 1 << 18
+GROUP_TOKENS = 1 << 16
 #: Counters of the fixed-size sketch that orders tokens by frequency.
 SKETCH = 1 << 18
 SLICES = 64
@@ -277,7 +277,7 @@ def intersections(a: Group, b: Group) -> np.ndarray:
     ends = np.cumsum(work[light])
     at = 0
     while at < len(light):
-        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 21), side="right")))
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 18), side="right")))
         cols = light[at:end]
         # every row of a that has the token, repeated for each row of b that has it
         left = ra[K.spread(ea[cols], ka[cols])]
