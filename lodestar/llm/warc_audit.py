@@ -104,7 +104,8 @@ def audit(primary: DataFrame, replica: DataFrame, id_col: str = "page_id", url_c
         if differs is not None:
             up = F.shiftright("node", FANOUT_BITS)
             x, y = (t.withColumn("up", up).join(differs.withColumnRenamed("node", "up"), "up", "left_semi").drop("up") for t in (x, y))
-        differs = x.join(y, "node", "full").where(~F.col("ha").eqNullSafe(F.col("hb"))).select("node")
+        # Kept, since each level reads it twice: uncut, the plan would double with every level.
+        differs = cut(x.join(y, "node", "full").where(~F.col("ha").eqNullSafe(F.col("hb"))).select("node"))
     left = ours.join(differs, "node", "left_semi").select("id", "nth", "file", "offset", F.col("digest").alias("expected_sha256"), F.col("copies").alias("ca"))
     right = theirs.join(differs, "node", "left_semi").select("id", "nth", F.col("file").alias("file_b"), F.col("digest").alias("found_sha256"), F.col("copies").alias("cb"))
     both = left.join(right, ["id", "nth"], "full").where(~(F.col("expected_sha256").eqNullSafe(F.col("found_sha256")) & F.col("ca").eqNullSafe(F.col("cb"))))
