@@ -52,3 +52,13 @@ def test_run(spark, tmp_path, sf_dir):
         expected.append((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()))
     assert sorted(map(tuple, have.collect())) == sorted(expected)
     assert sorted(map(tuple, P.run(spark, where).collect())) == sorted(expected)
+
+
+def test_one_item_contaminates(spark, documents, tmp_path):
+    words = [f"w{i}" for i in range(20)]
+    item = " ".join(words)
+    spark.createDataFrame([(1, item), (2, "another item of the benchmark with nine whole words")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(1, f"before {item} after"), (2, "before " + " ".join(words[5:13]) + " after"), (3, "before " + " ".join(words[5:12]) + " after"), (4, None), (5, "")]
+    kept = P.drop_contaminated(spark, documents(rows), str(tmp_path))
+    assert kept.columns == list(P.COLUMNS)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [3, 4, 5]
