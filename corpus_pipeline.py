@@ -16,6 +16,8 @@ from lodestar.llm import bpe, decontaminate, langid, line_dedup, ngram_join
 from lodestar.llm.queries import RANKS
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: A repeated line of so many words (substring dedup's window) is deleted whatever stands around it.
+LINE_WORDS = 20
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,8 +28,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated runs of lines go, and documents of which nothing else was left."""
-    out = line_dedup.line_dedup(docs).where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
+    """Later copies of repeated runs of lines and of long lines go, and documents of which nothing else was left."""
+    out = line_dedup.line_dedup(docs, line_words=LINE_WORDS).where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
     return out.withColumn("text", F.col("kept")).withColumn("n_chars", F.length("kept").cast("long")).select(*COLUMNS)
 
 

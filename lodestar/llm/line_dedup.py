@@ -8,6 +8,7 @@ interval.  A suffix alone in its rank leaves at once, so later rounds hold only
 what still repeats; doubling ends where the prefix reaches the shortest run
 that counts.  In each interval all but the first suffix start a later copy;
 touching copies merge into maximal repeated runs, and those lines are deleted.
+On request a later copy of one line of enough words is a run of its own.
 
 Ranks come from counts of distinct pairs, never from a sort of all suffixes in
 one place: pairs are pre-aggregated, so a line that a third of all documents
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 from .common import cut, keyed_text
 
 MIN_LINES = 2
+#: A word, as substring_dedup reads it.
+WORD = "[^\\x20\\x09-\\x0D]+"
 #: The first ranks are offsets of this many hash ranges plus the order within one.
 RANGES = 1024
 
@@ -48,25 +51,31 @@ def _paired(active: DataFrame, step: int) -> DataFrame:
     return pairs.join(ranks, ["rank", "next"]).select("at", "doc", "hash", "pos", F.col("new").alias("rank"), "first")
 
 
-def later_copies(docs: DataFrame, min_lines: int) -> DataFrame:
+def later_copies(docs: DataFrame, min_lines: int, line_words: int | None = None) -> DataFrame:
     """doc, hash and runs: the maximal line ranges (start, end) that repeat earlier lines."""
     line = F.posexplode(F.split("text", "\n"))
     lines = docs.where("text is not null").select("doc", "hash", line.alias("pos", "line"))
-    suffixes = lines.select(F.struct("doc", "hash", "pos").alias("at"), F.xxhash64("line").alias("a"), F.xxhash64("line", F.lit("second")).alias("b"))
-    active = suffixes.join(_first_ranks(suffixes), ["a", "b"]).select("at", "at.*", "rank", "first")
+    alone = F.lit(False) if line_words is None else F.regexp_count("line", F.lit(WORD)) >= line_words
+    suffixes = lines.select(F.struct("doc", "hash", "pos").alias("at"), F.xxhash64("line").alias("a"), F.xxhash64("line", F.lit("second")).alias("b"), alone.alias("alone"))
+    active = suffixes.join(_first_ranks(suffixes), ["a", "b"]).select("at", "at.*", "rank", "first", "alone")
     # Rows equal in id and text are one document.
     active = cut(active.dropDuplicates(["doc", "hash", "pos"]))
+    copies = lambda found, n: found.where(F.col("at") > F.col("first")).select("doc", "hash", "pos", (F.col("pos") + n).alias("stop"))
+    single = copies(active.where("alone"), 1)
     length = 1
     while 2 * length <= min_lines:
         active = cut(_paired(active, length))
         length *= 2
     if length < min_lines:
         active = _paired(active, min_lines - length)
-    later = active.where(F.col("at") > F.col("first")).select("doc", "hash", "pos")
-    # gaps and islands: a copy that starts after the end of the one before begins a new run
+    later = copies(active, min_lines)
+    if line_words is not None:
+        later = later.union(single).groupBy("doc", "hash", "pos").agg(F.max("stop").alias("stop"))
+    # gaps and islands: a copy that starts after the end of those before begins a new run
     w = Window.partitionBy("doc", "hash").orderBy("pos")
-    starts = later.withColumn("new", (F.col("pos") > F.coalesce(F.lag("pos").over(w) + min_lines, F.lit(-1))).cast("int"))
-    islands = starts.withColumn("island", F.sum("new").over(w)).groupBy("doc", "hash", "island").agg(F.min("pos").alias("start"), (F.max("pos") + min_lines).alias("end"))
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    starts = later.withColumn("new", (F.col("pos") > F.coalesce(F.max("stop").over(before), F.lit(-1))).cast("int"))
+    islands = starts.withColumn("island", F.sum("new").over(w)).groupBy("doc", "hash", "island").agg(F.min("pos").alias("start"), F.max("stop").alias("end"))
     return islands.groupBy("doc", "hash").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("runs"))
 
 
@@ -78,12 +87,13 @@ def _without(lines: Column, runs: Column) -> Column:
     return F.flatten(F.transform(F.sequence(F.lit(0), n), lambda k: F.slice(lines, begin(k) + 1, end(k) - begin(k))))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES, line_words: int | None = None) -> DataFrame:
     """docs with n_lines, n_removed, n_runs and kept: the text without later copies of repeated runs.
 
     Lines end at a line feed and compare as they are.  A line goes if it lies
     in min_lines consecutive lines that also start earlier: in a smaller id, or
-    further up in the document.  Runs are judged on the input.
+    further up in the document.  With line_words, a line of at least that many
+    words also goes if it alone starts earlier.  Runs are judged on the input.
 
     Edge cases: a null text has no lines and a kept text of null; an empty text
     has one empty line; a null id counts as the smallest; rows equal in id and
@@ -98,7 +108,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)).cast("long"))
     text = F.col(text_col).cast("string")
     read = docs.select(key.alias("doc"), F.xxhash64(text).alias("hash"), text.alias("text"))
-    runs = later_copies(read, min_lines).select(F.struct("doc", "hash").alias("_of"), F.col("runs").alias("_runs"))
+    runs = later_copies(read, min_lines, line_words).select(F.struct("doc", "hash").alias("_of"), F.col("runs").alias("_runs"))
     lines = F.split(text, "\n")
     joined = docs.withColumn("_key", F.struct(key.alias("doc"), F.xxhash64(text).alias("hash"))).join(runs, F.col("_key") == F.col("_of"), "left")
     removed = F.coalesce(F.aggregate("_runs", F.lit(0), lambda n, r: n + r["end"] - r["start"]), F.lit(0))
