@@ -1,11 +1,12 @@
 """Secret scans: base patterns, and a character convolutional network in numpy.
 
 The base patterns find secrets of known shape; those findings stay.  Every
-candidate (a base finding, or any other long run of key characters with a
-digit) is scored by a small convolutional network over its characters and
-those around it.  It is trained on labelled findings, its scores are calibrated
-by logistic scaling on findings it has not seen, and its threshold is the
-highest that keeps a required recall on them.  Candidates over the threshold
+candidate (a base finding, or any other long run of key characters) is scored
+by a small convolutional network over its characters and those around it.  It
+is trained on labelled findings, cut as the scan would cut them; its scores are
+calibrated by logistic scaling on findings it has not seen, and its threshold
+is the highest that keeps a required recall on them, where a secret that the
+scan would not cut out counts as missed.  Candidates over the threshold
 that touch no base finding are added with the kind 'cnn'.
 """
 
@@ -50,7 +51,7 @@ def _chars(*ranges: str) -> np.ndarray:
 
 HEX = _chars(string.digits, "abcdef")
 KEY = _chars(string.ascii_letters, string.digits, "+/_=-")
-DIGIT = _chars(string.digits)
+_RUN = re.compile(rb"[A-Za-z0-9+/_=-]+")
 _LOWER = bytes(K.LOWER)
 
 FIELDS = [
@@ -145,8 +146,12 @@ class CharCNN:
                 self.embed[0] = 0
         return self
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray, min_recall: float) -> CharCNN:
-        """Logistic scaling of the logits by Newton's method, then the highest threshold with the recall."""
+    def calibrate(self, x: np.ndarray, y: np.ndarray, min_recall: float, missed: int = 0) -> CharCNN:
+        """Logistic scaling of the logits by Newton's method, then the highest threshold with the recall.
+
+        missed: secrets beside those in x that no threshold finds; if they alone
+        are too many, the threshold is the lowest score of a secret.
+        """
         z = self.logits(x)
         a, b = 1.0, 0.0
         for _ in range(25):
@@ -160,9 +165,10 @@ class CharCNN:
         self.scale, self.shift = float(max(a, 1e-3)), float(b)
         good = np.sort(self.score(x[y > 0]))
         # at most (1 - recall) of the secrets may fall below
-        self.threshold = float(min(max(good[int((1 - min_recall) * len(good))], 0.5), 1.0)) if len(good) else 1.0
-        if len(good) and (good >= self.threshold).mean() < min_recall:
-            self.threshold = float(good[int((1 - min_recall) * len(good))])
+        last = max(int((1 - min_recall) * (len(good) + missed)) - missed, 0)
+        self.threshold = float(min(max(good[last], 0.5), 1.0)) if len(good) else 1.0
+        if len(good) and (good >= self.threshold).sum() < len(good) - last:
+            self.threshold = float(good[last])
         return self
 
 
@@ -177,11 +183,13 @@ def labelled_findings(n: int = MAX_LABELLED, seed: int = 3) -> list[tuple[bytes,
     chars = lambda alphabet, k: "".join(alphabet[i] for i in r.integers(len(alphabet), size=k))
     alnum = string.ascii_letters + string.digits
     syllables = "the an re tion er in ou es st ing le de la que en und ch ie ción os as".split()
+    onsets = "b c d f g h j k l m n p qu r s t v w z bl br ch cl cr dr fl fr gl gr kn pf ph pl pr sch sh sk sl sp spr st str sw th tr tw wh zw".split()
+    vowels, codas = "a e i o u ai au ea ee ei eu ie io oo ou y".split(), ["", *"n r s t l m d g ck ch ft ght ld mp nd ng nk nt pf rd rn rt ss st tz x".split()]
     word = lambda: "".join(pick(syllables) for _ in range(int(r.integers(1, 5))))
     prose = lambda: " ".join(word() for _ in range(5))
 
     def secret():
-        kind = int(r.integers(7))
+        kind = int(r.integers(8))
         if kind == 0:
             return "AKIA" + chars(string.ascii_uppercase + string.digits, 16)
         if kind == 1:
@@ -194,10 +202,28 @@ def labelled_findings(n: int = MAX_LABELLED, seed: int = 3) -> list[tuple[bytes,
             return chars(alnum + "+/", int(r.integers(27, 60))) + pick(["=", "==", ""])
         if kind == 5:
             return chars(alnum, int(r.integers(20, 44)))
-        return chars(alnum + "_-", int(r.integers(16, 32)))
+        if kind == 6:
+            return chars(alnum + "_-", int(r.integers(16, 32)))
+        return chars(string.ascii_letters, int(r.integers(16, 32)))
+
+    def plain():
+        """Digit-free text as prose and code have it."""
+        kind = int(r.integers(6))
+        if kind == 0:
+            return pick("=-_") * int(r.integers(12, 60))
+        if kind == 1:
+            return pick("-_/").join(word() for _ in range(int(r.integers(3, 6))))
+        if kind == 2:
+            return "".join(word().capitalize() for _ in range(4))
+        out, least = "", int(r.integers(CANDIDATE_LENGTH, 28))
+        while len(out) < least:
+            out += pick([word(), pick(onsets) + pick(vowels) + pick(codas)])
+        return (out, out.capitalize(), out.upper())[kind - 3]
 
     def harmless():
-        kind = int(r.integers(8))
+        kind = int(r.integers(12))
+        if kind > 7:
+            return plain()
         if kind == 0:
             return "-".join(word() for _ in range(4)) + str(int(r.integers(100)))
         if kind == 1:
@@ -227,10 +253,23 @@ def labelled_findings(n: int = MAX_LABELLED, seed: int = 3) -> list[tuple[bytes,
 
 def train(findings: list[tuple[bytes, bytes, bytes, int]], min_recall: float = MIN_RECALL) -> CharCNN:
     """Fitted on two of three findings, calibrated on the third."""
-    x = np.array([encode(b, c, a) for b, c, a, _ in findings])
+    cuts = [as_scanned(b, c, a) for b, c, a, _ in findings]
     y = np.array([float(label) for *_, label in findings])
-    third = np.arange(len(x)) // 2 % 3 == 2
-    return CharCNN().fit(x[~third], y[~third]).calibrate(x[third], y[third], min_recall)
+    third = np.arange(len(cuts)) // 2 % 3 == 2
+    there = np.array([c is not None for c in cuts], dtype=bool)
+    x = np.array([encode(*(c or (b"", b"", b""))) for c in cuts])
+    fitted, held = ~third & there, third & there
+    return CharCNN().fit(x[fitted], y[fitted]).calibrate(x[held], y[held], min_recall, int((y[third & ~there] > 0).sum()))
+
+
+def as_scanned(before: bytes, body: bytes, after: bytes) -> tuple[bytes, bytes, bytes] | None:
+    """The finding as the scan cuts it: the longest candidate run that overlaps body, in its context; None if there is none."""
+    text, lo, hi = before + body + after, len(before), len(before) + len(body)
+    runs = [(m.end() - m.start(), -m.start()) for m in _RUN.finditer(text) if m.end() - m.start() >= CANDIDATE_LENGTH and m.start() < hi and m.end() > lo]
+    if not runs:
+        return None
+    n, start = max(runs)
+    return text[:-start], text[-start : n - start], text[n - start :]
 
 
 # -- the scan ----------------------------------------------------------------
@@ -266,9 +305,6 @@ def scan(texts: K.Texts, model: CharCNN):
         at = [p for k in KEYWORDS for p in _occurrences(low, k)] + list(_occurrences(data, b"AKIA"))
         hex_start, hex_end = _runs(block, HEX, MIN_LENGTH["hex"])
         run_start, run_end = _runs(block, KEY, CANDIDATE_LENGTH)
-        digits = np.concatenate(([0], np.cumsum(DIGIT[block.data])))
-        some = digits[run_end] > digits[run_start]
-        run_start, run_end = run_start[some], run_end[some]
         home = lambda p: np.searchsorted(block.offsets, p, side="right") - 1
         docs = np.unique(np.concatenate([home(np.array(at, dtype=np.int64)), home(hex_start), home(run_start)]))
         found: list[list] = [[] for _ in range(j - i)]

@@ -125,6 +125,26 @@ def test_registered_secret_scan(spark, sf_dir):
         assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(k == x for k, *_ in base) for x in ("assign", "access", "hex"))
 
 
+def test_secrets_of_letters_alone():
+    import pyarrow as pa
+
+    model = secrets.train(secrets.labelled_findings())
+    keys = ["QwErTyUiOpAsDfGhJkLz", "kJhGtRfDeSwAqZxCvBnM"]
+    texts = [f"auth: {keys[0]}", f'see key = "{keys[1]}" for it', "entertainments nichtchzulichein Shertiontier ------------------ the/path/of/things"]
+    got = [[(k, t[a:b]) for k, a, b, _ in fs] for t, fs in zip(texts, secrets.scan(K.texts_of(pa.array(texts)), model))]
+    assert got == [[("cnn", keys[0])], [("cnn", keys[1])], []]
+
+
+def test_calibration_cuts_as_the_scan():
+    assert secrets.as_scanned(b"export ", b"aB3dE6gH9jK2", b" x") == (b"export ", b"aB3dE6gH9jK2", b" x")
+    assert secrets.as_scanned(b"export AUTH=", b"aB3dE6gH9jK2", b"; x") == (b"export ", b"AUTH=aB3dE6gH9jK2", b"; x")
+    assert secrets.as_scanned(b"key: ", b"short", b" a-run-of-another-word") is None
+    model, x = secrets.CharCNN(), np.array([secrets.encode(b, c, a) for b, c, a, _ in secrets.labelled_findings(400)])
+    y = np.tile([0.0, 1.0], 200)
+    below = [int((model.calibrate(x, y, 0.9, missed).score(x[y > 0]) < model.threshold).sum()) for missed in (0, 10, 50)]
+    assert below[0] > below[1] > below[2] == 0 and below[1] + 10 <= 21
+
+
 # -- neighbours ------------------------------------------------------------------
 
 
