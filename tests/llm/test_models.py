@@ -195,6 +195,27 @@ def test_groups_are_cut(spark, monkeypatch):
     assert hits >= 270
 
 
+def test_remote_cluster_opens_more_lists(spark, monkeypatch):
+    """Three vectors with a list of their own, far from well separated clusters, still get ten neighbours."""
+    monkeypatch.setattr(ann, "ROWS_A_LIST", 60)
+    r = np.random.default_rng(2)
+    centres = np.concatenate((100.0 * np.eye(8), [[1000.0] * 8]))
+    x = {i: (centres[i % 8] + r.normal(size=8)).tolist() for i in range(1, 541)}
+    x |= {i: (centres[8] + r.normal(size=8)).tolist() for i in (1000, 2001, 2002)}
+    x[0] = x[8]
+    kmeans = ann.kmeans
+    monkeypatch.setattr(ann, "kmeans", lambda v, k, **kw: centres if v.shape[1] == 8 else kmeans(v, k, **kw))
+    df = spark.createDataFrame(list(x.items()), "vec_id long, embedding array<double>")
+    got = ann.nearest_neighbours(df).collect()
+    for q in (0, 100, 1000):
+        rows = sorted((y["rank"], y["vec_id"]) for y in got if y["query_id"] == q)
+        assert [a for a, _ in rows] == list(range(1, 11))
+        if q == 1000:
+            assert [i for _, i in rows[:2]] == [i for _, i in brute.neighbours(x, q, 2)]
+    near, at = ann.lists_to_open(centres[[8, 0]], centres, 1, np.array([5] * 8 + [3]), 11)
+    assert np.bincount(at).tolist() == [3, 3] and near[0] == 8 and near[3] == 0
+
+
 # -- tokens ----------------------------------------------------------------------
 
 
