@@ -62,10 +62,3 @@ def test_one_item_contaminates(spark, documents, tmp_path):
     kept = P.drop_contaminated(spark, documents(rows), str(tmp_path))
     assert kept.columns == list(P.COLUMNS)
     assert sorted(r["doc_id"] for r in kept.collect()) == [3, 4, 5]
-
-
-def test_long_line_goes_alone(spark, documents):
-    long, short = (" ".join(f"w{i}" for i in range(n)) for n in (20, 19))
-    rows = [(1, f"a\n{long}\nb\n{short}"), (2, f"c\n{long}\nd\n{short}\ne"), (3, long), (4, f"{long}\nf\n{long}\na\n{long}"), (5, None)]
-    kept = {r["doc_id"]: r["text"] for r in P.dedup_lines(spark, documents(rows), "").collect()}
-    assert kept == {1: rows[0][1], 2: f"c\nd\n{short}\ne", 4: "f", 5: None}
