@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 from collections.abc import Callable
 
@@ -32,14 +33,20 @@ def partitions_for(df: DataFrame, mb: int = 8) -> int:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; set only where none is set (tests)."""
+    """The shared folder that the cluster names in spark.checkpoint.dir.
+
+    Where none is set, a folder of this machine does if the session runs on this
+    machine alone (tests); on a cluster it raises, since executors couldn't share it.
+    """
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if given is None and current.isDefined():
+        return current.get()
     if given is None:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if current.isDefined():
-            return current.get()
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
         given = tempfile.mkdtemp(prefix="lodestar-checkpoint-")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+    if not current.isDefined():
         spark.sparkContext.setCheckpointDir(given)
     return given
 
@@ -50,6 +57,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame, path: str) -> DataFrame:
+    """df written as Parquet and read again."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in whatever store it is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
 def keyed_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The two columns an operator reads, under names of its own."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

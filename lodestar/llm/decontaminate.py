@@ -75,7 +75,7 @@ def _csr(h: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
     return windows, np.concatenate((first, [len(pair)])).astype(np.int64), np.asarray(pair.i, dtype=np.int64)
 
 
-def index_of(ids: list[str], texts: list[str | None], window: int, gram: int) -> Index:
+def index_of(ids: list[str], texts: list[str | None], window: int, gram: int, least: int = 1) -> Index:
     names = sorted(set(ids))
     number = {x: i for i, x in enumerate(names)}
     item = np.array([number[x] for x in ids], dtype=np.int64)
@@ -86,7 +86,7 @@ def index_of(ids: list[str], texts: list[str | None], window: int, gram: int) ->
     prints = np.unique(g[winnow(g, gat, w.bounds, window - gram + 1)])
     short = {}
     counts = w.counts()
-    for n in sorted(set(counts[(counts > 0) & (counts < window)].tolist())):
+    for n in sorted(set(counts[(counts >= max(1, least)) & (counts < window)].tolist())):
         sat, sh = K.windows_of(w, n)
         sdoc = np.searchsorted(w.bounds, sat, side="right") - 1
         own = counts[sdoc] == n
@@ -169,6 +169,7 @@ def decontaminate(
     window: int = WINDOW,
     gram: int = GRAM,
     block_words: int = BLOCK_WORDS,
+    min_item_words: int = 1,
 ) -> DataFrame:
     """docs with n_words, n_hit, items (ids of the items that occur, sorted) and
     spans (start and end word of each maximal hit run, flat).
@@ -176,7 +177,8 @@ def decontaminate(
     Words are lower-cased runs of digits, letters and non-ASCII characters.  An
     item's windows are its `window` consecutive words; an item of fewer words is
     one window; its length then has no fingerprint guarantee, so all the
-    document's windows of that length are looked up.
+    document's windows of that length are looked up.  Items of fewer than
+    min_item_words words match nothing.
 
     Edge cases: a null or empty document has no words and no hits; an item
     without words matches nothing; a null item id reads as 'null'; items that
@@ -184,7 +186,7 @@ def decontaminate(
     with the names above are replaced.
     """
     sc = docs.sparkSession.sparkContext
-    held = [sc.broadcast(index_of(ids, texts, window, gram)) for ids, texts in _benchmark_blocks(benchmark, item_id_col, item_text_col, block_words)]
+    held = [sc.broadcast(index_of(ids, texts, window, gram, min_item_words)) for ids, texts in _benchmark_blocks(benchmark, item_id_col, item_text_col, block_words)]
 
     def columns(text: pa.Array) -> list[pa.Array]:
         rows = list(scan(K.texts_of(text), lambda: (b.value for b in held), window, gram))
