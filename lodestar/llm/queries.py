@@ -119,25 +119,32 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
 
 
-OP5_SQL = """
-WITH l AS (
-  SELECT doc_id, i, string_split(text, chr(10))[i] AS line
-  FROM documents, range(1, 1 + len(string_split(text, chr(10)))) AS r(i)
+OP5_SQL = r"""
+WITH d AS (
+  SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents
+), l AS (
+  SELECT doc_id, i, ls[i] AS line, sum(len(regexp_extract_all(ls[i], '[^\x20\x09-\x0D]+'))) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM d, range(1, 1 + len(ls)) AS r(i)
+), g AS (
+  SELECT doc_id, i, upto, coalesce(lag(upto) OVER (PARTITION BY doc_id ORDER BY i), 0) AS ahead FROM l
 ), w AS (
-  SELECT doc_id, i, line, lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM l
+  SELECT a.doc_id, a.i AS s, min(b.i) AS e FROM g a JOIN g b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.upto - a.ahead >= 8 GROUP BY a.doc_id, a.i
+  UNION
+  SELECT b.doc_id, max(a.i) AS s, b.i AS e FROM g a JOIN g b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.upto - a.ahead >= 8 GROUP BY b.doc_id, b.i
 ), c AS (
-  SELECT doc_id, i, line, nxt IS NOT NULL AND row_number() OVER (PARTITION BY line, nxt ORDER BY doc_id, i) > 1 AS starts FROM w
-), g AS (
-  SELECT doc_id, i, line, starts OR coalesce(lag(starts) OVER (PARTITION BY doc_id ORDER BY i), FALSE) AS gone FROM c
+  SELECT doc_id, s, e FROM (SELECT w.doc_id, s, e, row_number() OVER (PARTITION BY array_to_string(ls[s:e], chr(10)) ORDER BY w.doc_id, s) AS nth FROM w JOIN d ON w.doc_id = d.doc_id) WHERE nth > 1
+), x AS (
+  SELECT DISTINCT doc_id, j FROM c, range(s, e + 1) AS r(j)
 ), h AS (
-  SELECT doc_id, i, line, gone, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), FALSE) AS begins FROM g
+  SELECT l.doc_id, l.i, l.line, x.j IS NOT NULL AS gone FROM l LEFT JOIN x ON l.doc_id = x.doc_id AND l.i = x.j
+), k AS (
+  SELECT doc_id, i, line, gone, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), FALSE) AS begins FROM h
 )
 SELECT d.doc_id,
-       CAST(count(h.i) AS BIGINT) AS n_lines,
-       CAST(count(h.i) FILTER (WHERE h.gone) AS BIGINT) AS n_removed,
-       CAST(count(h.i) FILTER (WHERE h.begins) AS BIGINT) AS n_runs,
-       sha256(coalesce(string_agg(h.line, chr(10) ORDER BY h.i) FILTER (WHERE NOT h.gone), '')) AS kept_sha256
-FROM documents d LEFT JOIN h ON d.doc_id = h.doc_id
+       CAST(count(k.i) AS BIGINT) AS n_lines,
+       CAST(count(k.i) FILTER (WHERE k.gone) AS BIGINT) AS n_removed,
+       CAST(count(k.i) FILTER (WHERE k.begins) AS BIGINT) AS n_runs,
+       sha256(coalesce(string_agg(k.line, chr(10) ORDER BY k.i) FILTER (WHERE NOT k.gone), '')) AS kept_sha256
+FROM documents d LEFT JOIN k ON d.doc_id = k.doc_id
 GROUP BY d.doc_id
 """
 

@@ -67,17 +67,19 @@ def repeated_windows(rows, k):
     return out
 
 
-def repeated_lines(rows, k):
-    """(id, lines, removed, runs, kept text) of rows in id order."""
+def repeated_lines(rows, least):
+    """(id, lines, removed, runs, kept text) of rows in id order: every run of at least `least` words that starts earlier goes."""
     seen, out = set(), []
     for i, t in sorted(rows):
         lines = [] if t is None else t.split("\n")
         gone = [False] * len(lines)
-        for j in range(len(lines) - k + 1):
-            key = tuple(lines[j : j + k])
-            if key in seen:
-                gone[j : j + k] = [True] * k
-            seen.add(key)
+        for a in range(len(lines)):
+            for b in range(a + 1, len(lines) + 1):
+                if sum(len(SPACED.findall(x)) for x in lines[a:b]) >= least:
+                    key = tuple(lines[a:b])
+                    if key in seen:
+                        gone[a:b] = [True] * (b - a)
+                    seen.add(key)
         runs = sum(g and not (j and gone[j - 1]) for j, g in enumerate(gone))
         out.append((i, len(lines), sum(gone), runs, None if t is None else "\n".join(x for x, g in zip(lines, gone) if not g)))
     return out

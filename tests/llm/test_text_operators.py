@@ -86,23 +86,35 @@ def test_substrings_within_a_document_and_repeated_rows(documents):
     assert got == sorted(brute.repeated_windows(rows, 10))
 
 
-@pytest.mark.parametrize("seed, k", [(1, 1), (2, 2), (3, 3), (4, 5)])
-def test_lines(documents, seed, k):
+@pytest.mark.parametrize("seed, least", [(1, 1), (2, 4), (3, 8), (4, 20)])
+def test_lines(documents, seed, least):
     r = random.Random(seed)
-    lines = [f"line {i}" for i in range(12)] + ["", " "]
-    rows = [(i, "\n".join(r.choice(lines) for _ in range(r.randrange(1, 14)))) for i in range(-5, 40)]
+    lines = ["", "", " ", "one", "a b", "two words", "of three words", "this has four words", "a longer line of seven words here", "the longest line of them all, with as many as eleven"]
+    rows = [(i, "\n".join(r.choice(lines) for _ in range(r.randrange(1, 24)))) for i in range(-5, 40)]
     rows += [(50, None), (51, ""), (52, "\n\n\n"), (53, rows[3][1]), (54, rows[3][1])]
-    got = line_dedup(documents(rows, ["kept", "runs"]), min_lines=k)
-    assert "runs" in got.columns
-    assert sorted(map(tuple, got.select("doc_id", "n_lines", "n_removed", "n_runs", "kept").collect())) == sorted(brute.repeated_lines(rows, k))
+    got = line_dedup(documents(rows, ["kept", "runs", "of", "own", "found", "FOUND_"]), min_words=least)
+    assert {"runs", "of", "own", "found", "FOUND_"} <= set(got.columns)
+    assert sorted(map(tuple, got.select("doc_id", "n_lines", "n_removed", "n_runs", "kept").collect())) == sorted(brute.repeated_lines(rows, least))
 
 
 def test_lines_of_equal_rows_are_one_document(documents):
-    rows = [(1, "a\nb\nc")] * 3 + [(2, "a\nb\nz")]
-    got = sorted(map(tuple, line_dedup(documents(rows)).select("doc_id", "n_removed").collect()))
-    assert got == [(1, 0)] * 3 + [(2, 2)]
+    line = "a line of as many words as it takes"
+    rows = [(1, f"{line}\nb\nc")] * 3 + [(2, f"{line}\nb\nz"), (None, "q"), (None, "q")]
+    got = sorted(map(tuple, line_dedup(documents(rows)).select("doc_id", "n_removed").collect()), key=str)
+    assert got == [(1, 0)] * 3 + [(2, 2)] + [(None, 0)] * 2
     with pytest.raises(ValueError):
-        line_dedup(documents(rows), min_lines=0)
+        line_dedup(documents(rows), min_words=0)
+
+
+def test_long_runs_of_short_lines_and_a_hot_blank_line(documents, spark):
+    """Runs of 40 lines need ranks of 32 lines; the blank line is a third of all, and beside it everything else."""
+    r = random.Random(8)
+    short = [f"w{i}" for i in range(30)]
+    run = [r.choice(short) if i % 2 else "" for i in range(90)]
+    rows = [(i, "\n".join([f"only {i}", *run[r.randrange(8) : r.randrange(70, 90)], "", f"{r.random()}", "", f"last {i}"])) for i in range(40)]
+    got = sorted(map(tuple, line_dedup(documents(rows), min_words=20).select("doc_id", "n_lines", "n_removed", "n_runs", "kept").collect()))
+    assert got == brute.repeated_lines(rows, 20)
+    assert sum(x[2] for x in got) > 1500
 
 
 @pytest.mark.parametrize("seed, block_words", [(1, 1 << 20), (2, 50)])
@@ -136,7 +148,7 @@ def test_empty_tables(documents, op):
     assert op(documents([])).count() == 0
 
 
-def test_registered_line_dedup_matches_sql(spark, sf_dir):
+def test_registered_queries_match_sql(spark, sf_dir):
     from lodestar.llm.queries import ORACLES, QUERIES
     from tests.compare import assert_same
 
