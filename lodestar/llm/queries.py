@@ -163,7 +163,7 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     of = lambda kind: F.size(F.filter(f, lambda x: x["kind"] == kind)).cast("long")
     return out.select(
         "doc_id",
-        *(of(kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")),
+        *(of(kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex", "cnn")),
         F.sha2(spelled(F.filter(f, lambda x: x["kind"] != "cnn")), 256).alias("base_sha256"),
         spelled(f).alias("spans"),
     )

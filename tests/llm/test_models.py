@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import os
 import random
 
 import numpy as np
@@ -93,14 +94,50 @@ def test_findings_across_texts_do_not_join():
     assert [f for f in secrets.scan(K.texts_of(pa.array(texts)), model) if any(x[0] != "cnn" for x in f)] == []
 
 
-def test_network_on_held_out_findings():
-    model = secrets.train(secrets.labelled_findings(2400))
+@pytest.fixture(scope="module")
+def network():
+    return secrets.train(secrets.labelled_findings())
+
+
+def test_network_on_held_out_findings(network):
     fresh = secrets.labelled_findings(1000, seed=99)
-    p = model.score(np.array([secrets.encode(b, c, a) for b, c, a, _ in fresh]))
-    y = np.array([x[3] for x in fresh])
-    assert (p[y == 1] >= model.threshold).mean() > 0.93
-    assert (p[y == 0] >= model.threshold).mean() < 0.1
+    cuts = [secrets.as_scanned(*f[:3]) for f in fresh]
+    p = np.array([network.score([secrets.encode(*c)])[0] if c else 0.0 for c in cuts])
+    y = np.array([f[3] for f in fresh])
+    assert (p[y == 1] >= network.threshold).mean() > 0.94
+    assert (p[y == 0] >= network.threshold).mean() < 0.03
     assert abs(p.mean() - y.mean()) < 0.06  # calibrated
+    assert 0.05 < network.threshold < 0.995  # not saturated
+
+
+def plain_logit(model, before, body, after):
+    """The forward pass written out: a window of five characters around each character."""
+    text = b"\0" * max(0, secrets.BEFORE - len(before)) + before[-secrets.BEFORE :] + body + after[: secrets.AFTER] + b"\0" * max(0, secrets.AFTER - len(after))
+    code = lambda c: 0 if c == 0 else 96 if c in (9, 10, 11, 12, 13) else 97 if c < 32 or c == 127 else 98 if c > 127 else c - 31
+    regions = [range(secrets.BEFORE), range(secrets.BEFORE, secrets.BEFORE + len(body)), range(secrets.BEFORE + len(body), len(text))]
+    top, mean = [[0.0] * secrets.FILTERS for _ in regions], [0.0] * secrets.FILTERS
+    for r, region in enumerate(regions):
+        for at in region:
+            window = [model.embed[code(text[i]) if 0 <= i < len(text) else 0] for i in range(at - 2, at + 3)]
+            for f in range(secrets.FILTERS):
+                y = max(0.0, sum(float(e[d]) * float(model.conv[w * secrets.DIM + d, f]) for w, e in enumerate(window) for d in range(secrets.DIM)) + float(model.bias[f]))
+                top[r][f] = max(top[r][f], y)
+                if r == 1:
+                    mean[f] += y / len(body)
+    return sum(x * w for x, w in zip([*top[0], *top[1], *top[2], *mean], model.out.tolist())) + model.out_bias
+
+
+def test_forward_pass_is_the_plain_one(network, monkeypatch):
+    r = random.Random(3)
+    chars = lambda n: bytes(r.randrange(1, 256) for _ in range(n))
+    rows = [(chars(r.randrange(40)), chars(n), chars(r.randrange(30))) for n in (1, 2, 3, 12, 13, 40, 240, 241, 700)]
+    want = [plain_logit(network, *x) for x in rows]
+    for windows in (1 << 15, 64):  # whole, and in parts
+        monkeypatch.setattr(secrets, "WINDOWS", windows)
+        assert network.logits([secrets.encode(*x) for x in rows]) == pytest.approx(want, abs=1e-8)
+    # what differs in the middle of a long candidate differs in the score
+    a, b = (b"x" * 120 + m + b"x" * 120 for m in (b"Zk9/", b"xxxx"))
+    assert abs(np.diff(network.logits([secrets.encode(b"", a, b""), secrets.encode(b"", b, b"")]))[0]) > 1e-6
 
 
 def test_network_adds_what_patterns_miss(documents):
@@ -118,30 +155,50 @@ def test_labelled_findings_can_be_given(spark, documents):
 
 
 def test_registered_secret_scan(spark, sf_dir):
+    sf_dir = os.path.join(os.path.dirname(sf_dir), "sf0.01")  # the smallest table's assignments are none
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    added = 0
     for r in QUERIES["op7_secret_scan"](spark, sf_dir).collect():
-        base = brute.secrets(docs[r["doc_id"]])
+        text, base = docs[r["doc_id"]], brute.secrets(docs[r["doc_id"]])
         assert r["base_sha256"] == hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in base).encode()).hexdigest()
         assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(k == x for k, *_ in base) for x in ("assign", "access", "hex"))
-
-
-def test_secrets_of_letters_alone():
+        spans = [x.split(":") for x in r["spans"].split(",") if x]
+        network = [(int(s), int(e)) for k, s, e in spans if k == "cnn"]
+        assert len(network) == r["n_cnn"]
+        added += len(network)
+        # the network's own word on this table: values of assignments, but no number of a card and no prose
+        assert all(any(k == "assign" and s <= a and z <= e for k, s, e in base) for a, z in network), text
+    assert added > 0
+
+
+def test_findings_of_documents(spark, documents):
+    key, plain = "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda", "incomprehensibly"
+    rows = [(i, f'a token = "{key}" and {plain} 4929348385146306 é') for i in range(3)] + [(9, None), (10, "")]
+    got = secrets.document_findings(documents(rows), "text", 10)
+    assert sorted((body, label) for _, body, _, label in got) == [(plain.encode(), 0), (key.encode(), 1)]
+    assert secrets.document_findings(documents([]), "text", 10) == []
+    words = [(i, f"word{i}" * 9) for i in range(30)]
+    some = secrets.document_findings(documents(words), "text", 10)
+    assert len(some) == 5 and some == secrets.document_findings(documents(words[::-1] * 2), "text", 10)
+
+
+def test_secrets_of_letters_alone_and_in_quotes(network):
     import pyarrow as pa
 
-    model = secrets.train(secrets.labelled_findings())
-    keys = ["QwErTyUiOpAsDfGhJkLz", "kJhGtRfDeSwAqZxCvBnM"]
-    texts = [f"auth: {keys[0]}", f'see key = "{keys[1]}" for it', "entertainments nichtchzulichein Shertiontier ------------------ the/path/of/things"]
-    got = [[(k, t[a:b]) for k, a, b, _ in fs] for t, fs in zip(texts, secrets.scan(K.texts_of(pa.array(texts)), model))]
-    assert got == [[("cnn", keys[0])], [("cnn", keys[1])], []]
+    keys = ["QwErTyUiOpAsDfGhJkLz", "kJhGtRfDeSwAqZxCvBnM", "x7!kQ2zP.w9$vRt4"]
+    texts = [f"auth: {keys[0]}", f'see key = "{keys[1]}" for it', f"login with pass '{keys[2]}' now", "entertainments nichtchzulichein Shertiontier ------------------ the/path/of/things"]
+    got = [[(k, t[a:b]) for k, a, b, _ in fs] for t, fs in zip(texts, secrets.scan(K.texts_of(pa.array(texts)), network))]
+    assert got == [[("cnn", keys[0])], [("cnn", keys[1])], [("cnn", keys[2])], []]
 
 
 def test_calibration_cuts_as_the_scan():
     assert secrets.as_scanned(b"export ", b"aB3dE6gH9jK2", b" x") == (b"export ", b"aB3dE6gH9jK2", b" x")
     assert secrets.as_scanned(b"export AUTH=", b"aB3dE6gH9jK2", b"; x") == (b"export ", b"AUTH=aB3dE6gH9jK2", b"; x")
     assert secrets.as_scanned(b"key: ", b"short", b" a-run-of-another-word") is None
-    model, x = secrets.CharCNN(), np.array([secrets.encode(b, c, a) for b, c, a, _ in secrets.labelled_findings(400)])
+    model, x = secrets.CharCNN(), [secrets.encode(b, c, a) for b, c, a, _ in secrets.labelled_findings(400)]
     y = np.tile([0.0, 1.0], 200)
-    below = [int((model.calibrate(x, y, 0.9, missed).score(x[y > 0]) < model.threshold).sum()) for missed in (0, 10, 50)]
+    score = lambda missed: model.calibrate(x, y, 0.9, missed).score([f for f, one in zip(x, y) if one])
+    below = [int((score(missed) < model.threshold).sum()) for missed in (0, 10, 50)]
     assert below[0] > below[1] > below[2] == 0 and below[1] + 10 <= 21
 
 
