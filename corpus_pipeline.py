@@ -20,6 +20,8 @@ from lodestar.llm import bpe, decontaminate, langid, line_dedup, ngram_join
 from lodestar.llm.common import checkpoint_dir, removed, written
 from lodestar.llm.queries import RANKS
 
+#: As a near duplicate is one of a similarity of 0.8.
+KEPT_SHARE = 0.2
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -36,14 +38,15 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated runs of lines go, and documents of which nothing else was left.
+    """Later copies of repeated runs of lines go, and documents of which less than KEPT_SHARE of the characters was left.
 
-    n_chars follows the new text.  A null text has no lines and stays null; an
+    What is left of a near copy without the lines it shares is shreds, which no
+    later stage could know as copies.  n_chars follows the new text.  A null text has no lines and stays null; an
     empty one is one empty line and stays; a null id counts as the smallest; rows
     equal in id and text are one document, so all of them keep their lines (the
     Jaccard join keeps one); an empty table stays empty.
     """
-    out = line_dedup.line_dedup(docs.select(*COLUMNS)).where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
+    out = line_dedup.line_dedup(docs.select(*COLUMNS)).where((F.col("n_removed") == 0) | (F.length("kept") >= KEPT_SHARE * F.length("text")))
     return out.withColumn("text", F.col("kept")).withColumn("n_chars", F.length("kept").cast("long")).select(*COLUMNS)
 
 
