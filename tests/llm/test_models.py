@@ -175,7 +175,7 @@ def test_findings_of_documents(spark, documents):
     key, plain = "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda", "incomprehensibly"
     rows = [(i, f'a token = "{key}" and {plain} 4929348385146306 é') for i in range(3)] + [(9, None), (10, "")]
     got = secrets.document_findings(documents(rows), "text", 10)
-    assert sorted((body, label) for _, body, _, label in got) == [(plain.encode(), 0), (key.encode(), 1)]
+    assert sorted((label, body) for _, body, _, label in got) == [(0, plain.encode()), (1, key.encode())]
     assert secrets.document_findings(documents([]), "text", 10) == []
     words = [(i, f"word{i}" * 9) for i in range(30)]
     some = secrets.document_findings(documents(words), "text", 10)
