@@ -30,8 +30,8 @@ def cast_integer(x, to: str = "int") -> Column:
 # -- text ---------------------------------------------------------------------
 
 
-def similar_to(text, pattern: str) -> Column:
-    """SQL's SIMILAR TO: %, _ and [...] are special, all else is itself; the whole text matches, case counts."""
+def similar_pattern(pattern: str) -> str:
+    """The regular expression of a SIMILAR TO pattern: %, _ and [...] are special, all else is itself; the whole text matches."""
     out, i = [], 0
     while i < len(pattern):
         c = pattern[i]
@@ -42,7 +42,12 @@ def similar_to(text, pattern: str) -> Column:
         else:
             out.append({"%": ".*", "_": "."}.get(c) or re.escape(c))
         i += 1
-    return _c(text).rlike("(?s)^(?:" + "".join(out) + ")$")
+    return "(?s)^(?:" + "".join(out) + ")$"
+
+
+def similar_to(text, pattern: str) -> Column:
+    """SQL's SIMILAR TO; case counts."""
+    return _c(text).rlike(similar_pattern(pattern))
 
 
 def regexp(text, pattern: str, case_sensitive: bool = False) -> Column:

@@ -7,7 +7,12 @@ from pyspark.sql import functions as F
 
 
 def insert(target: DataFrame, source: DataFrame, columns: list[str] | None = None, defaults: dict[str, Column] | None = None) -> DataFrame:
-    """target and the rows of source.
+    """target and the rows of source."""
+    return target.unionAll(mapped(target, source, columns, defaults))
+
+
+def mapped(target: DataFrame, source: DataFrame, columns: list[str] | None = None, defaults: dict[str, Column] | None = None) -> DataFrame:
+    """The rows of source as rows of target.
 
     Columns map by the given list in order; without one by name, if every
     source name is a target name, else by position.  Others take their default,
@@ -22,7 +27,7 @@ def insert(target: DataFrame, source: DataFrame, columns: list[str] | None = Non
     place = dict(zip(columns, source.columns))
     kind = {f.name: f.dataType for f in target.schema.fields}
     new = [(F.col(f"`{place[n]}`") if n in place else defaults.get(n, F.lit(None))).cast(kind[n]).alias(n) for n in names]
-    return target.unionAll(source.select(*new))
+    return source.select(*new)
 
 
 def update(target: DataFrame, set_: dict[str, Column], where: Column | None = None) -> DataFrame:
