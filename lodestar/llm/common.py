@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import math
-import re
-import tempfile
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -13,6 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from lodestar.checkpoints import checkpoint_dir, cut
+
+__all__ = ["bounded_batches", "checkpoint_dir", "cut", "fresh", "keyed_text", "map_columns", "partitions_for", "plan_bytes", "removed", "rows_for", "written"]
+
 
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate for a plan; for a scan the bytes of its files."""
@@ -32,31 +34,6 @@ def partitions_for(df: DataFrame, mb: int = 8) -> int:
     return max(1, min(base, math.ceil(size / (1 << 20))), math.ceil(size / (mb << 20)))
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir.
-
-    Where none is set, a folder of this machine does if the session runs on this
-    machine alone (tests); on a cluster it raises, since executors couldn't share it.
-    """
-    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if given is None and current.isDefined():
-        return current.get()
-    if given is None:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
-        given = tempfile.mkdtemp(prefix="lodestar-checkpoint-")
-    if not current.isDefined():
-        spark.sparkContext.setCheckpointDir(given)
-    return given
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the shared checkpoint folder, without its lineage."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def written(df: DataFrame, path: str) -> DataFrame:
     """df written as Parquet and read again."""
     df.write.mode("overwrite").parquet(path)
