@@ -93,9 +93,9 @@ def _later(windows: DataFrame, ranks: DataFrame, size: int) -> DataFrame:
     at = lambda pos, name: ranks.select("doc", "hash", F.col("pos").alias(pos), F.col("rank").alias(name))
     due = due.withColumn("second", F.col("start") + F.col("m") - size)
     due = due.join(at("start", "head"), ["doc", "hash", "start"]).join(at("second", "tail"), ["doc", "hash", "second"])
-    due = due.select("head", "tail", "m", F.struct("doc", "hash", "start").alias("at"))
-    first = due.groupBy("head", "tail", "m").agg(F.min("at").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return due.join(first, ["head", "tail", "m"]).where(F.col("at") > F.col("first")).select("at.*", "m")
+    first = due.groupBy("head", "tail", "m").agg(F.min(F.struct("doc", "hash", "start")).alias("first")).select("first.*", "m")
+    # Windows have keys of their own, so an interval of a third of all windows is no key of this join.
+    return due.join(first, ["doc", "hash", "start", "m"], "left_anti").select("doc", "hash", "start", "m")
 
 
 def later_copies(docs: DataFrame, min_words: int) -> DataFrame:
