@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lodestar.queries import aggregates, filters, joins, scalars, shapes, windows, writes
+from lodestar.queries import aggregates, filters, joins, scalars, shapes, statements, windows, writes
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (filters, joins, aggregates, windows, shapes, scalars, writes):
+for _module in (filters, joins, aggregates, windows, shapes, scalars, writes, statements):
     QUERIES |= _module.registry.queries
     ORACLES |= _module.registry.oracles

@@ -67,3 +67,51 @@ def test_all_subquery_edges(spark):
     assert R.all_subquery(df, "x", ">", nulls, "y").count() == 0
     assert R.any_subquery(df, "x", ">", empty, "y").count() == 0
     assert R.any_subquery(df, "x", "=", spark.createDataFrame([(5,), (5,)], "y int"), "y").collect() == [(5,)]
+
+
+def test_range_join_of_many_widths(spark):
+    """Ranges from tiny to huge, empty ones and nulls; a range meets two bins at most, whatever its length."""
+    import random
+
+    r = random.Random(2)
+    points = [(i, r.uniform(-1e4, 1e4)) for i in range(300)] + [(900, None), (901, 0.0)]
+    ranges = [(i, lo, lo + r.choice([0.0, -1.0, 0.5, 3.0, 700.0, 1e9])) for i in range(60) for lo in [r.uniform(-1e4, 1e4)]] + [(99, None, 1.0), (98, 0.0, 1e-9)]
+    p = spark.createDataFrame(points, "id int, level double")
+    b = spark.createDataFrame(ranges, "rid int, cell double, hi double")
+    got = sorted((x["id"], x["rid"]) for x in R.range_join(p, b, "level", "cell", "hi", 2.0).collect())
+    assert got == sorted((i, j) for i, x in points for j, lo, hi in ranges if None not in (x, lo) and lo <= x < hi)
+
+
+def test_range_join_broadcasts_the_ranges(spark, sf_dir):
+    text = explain(QUERIES["join_range"](spark, sf_dir), "simple")
+    assert "BuildRight" in text and "BuildLeft" not in text
+
+
+def test_theta_join_of_two_large_sides_raises(spark, monkeypatch):
+    monkeypatch.setattr(R, "BROADCAST_BYTES", 10)
+    a, b = spark.range(10**8).toDF("x"), spark.range(10**8).toDF("y")
+    monkeypatch.setattr(R, "small", lambda df: False)
+    with pytest.raises(ValueError, match="range_join"):
+        R.theta_join(a, b, F.col("x") < F.col("y"))
+    assert R.theta_join(a, b, (F.col("x") == F.col("y")) & (F.col("x") > 5)) is not None
+
+
+@pytest.mark.parametrize("op", ["=", "<>", "<", "<=", ">", ">="])
+def test_quantified_subqueries(spark, op):
+    import operator
+
+    f = {"=": operator.eq, "<>": operator.ne, "<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge}[op]
+    xs = [1, 2, 3, 4, None]
+    df = spark.createDataFrame([(x,) for x in xs], "x int")
+    for ys in ([], [2], [2, 3], [2, 2], [None, 3]):
+        sub = spark.createDataFrame([(y,) for y in ys], "y int")
+        known = [y for y in ys if y is not None]
+        some = sorted(x for x in xs if x is not None and any(f(x, y) for y in known))
+        every = sorted((x for x in xs if not ys or (x is not None and None not in ys and all(f(x, y) for y in ys))), key=str)
+        assert sorted(r["x"] for r in R.any_subquery(df, "x", op, sub, "y").collect()) == some
+        assert sorted((r["x"] for r in R.all_subquery(df, "x", op, sub, "y").collect()), key=str) == every
+
+
+def test_helper_columns_clash_with_none(spark):
+    df = spark.createDataFrame([(1, 2, 3), (1, 1, 4)], "k int, rank int, rank_ int")
+    assert R.top_n_per_group(df, ["k"], 1, F.asc("rank")).collect() == [(1, 1, 4)]
