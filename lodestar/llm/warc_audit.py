@@ -57,32 +57,48 @@ def manifest(records: DataFrame, files: int) -> DataFrame:
 
 
 def _leaves(records: DataFrame) -> DataFrame:
-    """level 0: node (file and range in one number, in order) and hash."""
+    """node (file and range in one number, in order) and hash of each range of each copy."""
     entry = F.struct("offset", "id", "nth", "digest", "copies")
     line = lambda r: F.concat_ws(":", r["offset"], r["id"], r["nth"], r["digest"], r["copies"])
-    return records.groupBy("node").agg(F.sha2(F.concat_ws(",", F.transform(F.sort_array(F.collect_list(entry)), line)), 256).alias("hash"))
+    return records.groupBy("copy", "node").agg(F.sha2(F.concat_ws(",", F.transform(F.sort_array(F.collect_list(entry)), line)), 256).alias("hash"))
 
 
 def _parents(nodes: DataFrame) -> DataFrame:
     child = F.transform(F.sort_array(F.collect_list(F.struct("node", "hash"))), lambda r: F.concat_ws(":", r["node"], r["hash"]))
-    return nodes.groupBy(F.shiftright("node", FANOUT_BITS).alias("node")).agg(F.sha2(F.concat_ws(",", child), 256).alias("hash"))
+    return nodes.groupBy("copy", F.shiftright("node", FANOUT_BITS).alias("node")).agg(F.sha2(F.concat_ws(",", child), 256).alias("hash"))
 
 
 def tree(records: DataFrame, levels: int) -> list[DataFrame]:
-    """Levels of nodes, leaves first, the root last."""
+    """Levels of both copies' nodes, leaves first, the roots last.  Each is kept, so that descent reads a level, not all below it."""
     out = [cut(_leaves(records))]
     for _ in range(levels):
-        out.append(_parents(out[-1]))
+        out.append(cut(_parents(out[-1])))
     return out
 
 
+def differing(nodes: DataFrame) -> DataFrame:
+    """Nodes whose hash is not the same in both copies, or that one copy lacks."""
+    of = lambda copy: F.max(F.when(F.col("copy") == copy, F.col("hash")))
+    return nodes.groupBy("node").agg(of(0).alias("a"), of(1).alias("b")).where(~F.col("a").eqNullSafe(F.col("b"))).select("node")
+
+
+def descend(levels: list[DataFrame]) -> DataFrame:
+    """The leaves that differ: from the roots down, only the children of nodes that differ are compared."""
+    found = differing(levels[-1])
+    for nodes in levels[-2::-1]:
+        below = nodes.withColumn("up", F.shiftright("node", FANOUT_BITS)).join(found.withColumnRenamed("node", "up"), "up", "left_semi")
+        found = differing(below)
+    return found
+
+
 def audit(primary: DataFrame, replica: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> DataFrame:
     """id, status (altered, missing, extra), file, offset, expected_sha256 and found_sha256 of each record that differs.
 
     Edge cases: null urls and bodies are empty; a null id is one id of its own
     and null in the result; different records of one id are told apart by the
     order of their hashes; a record kept in another number of copies is altered;
-    other columns are not read; equal copies, also empty ones, give no rows.
+    other columns are not read; bodies of any length are hashed whole; equal
+    copies, also empty ones, give no rows.
     """
     ours = digests(primary, id_col, url_col, body_col)
     ours = cut(ours)
@@ -97,17 +113,10 @@ def audit(primary: DataFrame, replica: DataFrame, id_col: str = "page_id", url_c
     theirs = theirs.withColumns({"file": F.coalesce("file", F.pmod(F.xxhash64("id"), F.lit(files))), "range": F.coalesce("range", F.lit(0).cast("long")), "offset": F.coalesce("offset", F.lit(-1).cast("long"))})
     theirs = cut(theirs.withColumn("node", node))
 
-    a, b = tree(ours, levels), tree(theirs, levels)
-    differs = None
-    for level in range(levels, -1, -1):
-        x, y = a[level].withColumnRenamed("hash", "ha"), b[level].withColumnRenamed("hash", "hb")
-        if differs is not None:
-            up = F.shiftright("node", FANOUT_BITS)
-            x, y = (t.withColumn("up", up).join(differs.withColumnRenamed("node", "up"), "up", "left_semi").drop("up") for t in (x, y))
-        # Kept, since each level reads it twice: uncut, the plan would double with every level.
-        differs = cut(x.join(y, "node", "full").where(~F.col("ha").eqNullSafe(F.col("hb"))).select("node"))
-    left = ours.join(differs, "node", "left_semi").select("id", "nth", "file", "offset", F.col("digest").alias("expected_sha256"), F.col("copies").alias("ca"))
-    right = theirs.join(differs, "node", "left_semi").select("id", "nth", F.col("file").alias("file_b"), F.col("digest").alias("found_sha256"), F.col("copies").alias("cb"))
-    both = left.join(right, ["id", "nth"], "full").where(~(F.col("expected_sha256").eqNullSafe(F.col("found_sha256")) & F.col("ca").eqNullSafe(F.col("cb"))))
+    both = ours.select("id", "nth", "file", "offset", "digest", "copies", "node", F.lit(0).alias("copy")).unionByName(theirs.select("id", "nth", "file", "offset", "digest", "copies", "node", F.lit(1).alias("copy")))
+    found = both.join(descend(tree(both, levels)), "node", "left_semi")
+    of = lambda copy, c: F.max(F.when(F.col("copy") == copy, F.col(c)))
+    pairs = found.groupBy("id", "nth").agg(of(0, "digest").alias("expected_sha256"), of(1, "digest").alias("found_sha256"), of(0, "copies").alias("ca"), of(1, "copies").alias("cb"), F.coalesce(of(0, "file"), of(1, "file")).alias("file"), of(0, "offset").alias("offset"))
+    pairs = pairs.where(~(F.col("expected_sha256").eqNullSafe(F.col("found_sha256")) & F.col("ca").eqNullSafe(F.col("cb"))))
     status = F.when(F.col("found_sha256").isNull(), "missing").when(F.col("expected_sha256").isNull(), "extra").otherwise("altered")
-    return both.select(F.when(F.col("id") != -(2**63), F.col("id")).alias(id_col), status.alias("status"), F.coalesce("file", "file_b").alias("file"), "offset", "expected_sha256", "found_sha256")
+    return pairs.select(F.when(F.col("id") != -(2**63), F.col("id")).alias(id_col), status.alias("status"), "file", "offset", "expected_sha256", "found_sha256")
