@@ -26,6 +26,8 @@ EM_ROUNDS = 12
 PENALTY = 3.0
 SMOOTHING = 0.5
 UNDETERMINED = "und"
+#: Languages of a model at most: the driver and each worker hold 64**3 numbers a language, 2 MB.
+MAX_LANGS = 128
 
 CLASSES = np.zeros(256, dtype=np.int32)  # 0: any ASCII that is no letter
 CLASSES[97:123] = np.arange(1, 27)
@@ -152,10 +154,13 @@ def train(rows: DataFrame, text_col: str, lang_col: str) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(row[at], pa.int64())], names=["lang", "gram", "n"])
 
     bounded_batches(rows.sparkSession)
+    langs = rows.select(F.col(lang_col).cast("string").alias("lang")).where("lang is not null").distinct().limit(MAX_LANGS + 1).count()
+    if langs > MAX_LANGS:
+        raise ValueError(f"training texts have over {MAX_LANGS} languages: the column of languages is not clean")
     used = rows.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and text is not null")
     sums = used.mapInArrow(count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts: dict[str, np.ndarray] = {}
-    table = sums.toArrow()
+    table = sums.toArrow()  # at most 64**3 rows a language
     lang = np.array(table["lang"].to_pylist(), dtype=object)
     gram, n = table["gram"].to_numpy(), table["n"].to_numpy()
     for name in set(lang.tolist()):
@@ -197,8 +202,10 @@ def identify(docs: DataFrame, training: DataFrame, text_col: str = "text", lang_
 
     Edge cases: a null text, or one without a letter, is 'und' with score 0; so
     is every text if no labelled text exists; training rows with null text or
-    language are left out; equal likelihoods go to the first name; columns of
-    docs with the names above are replaced.
+    language are left out; over MAX_LANGS distinct languages raise; equal
+    likelihoods go to the first name; a text of any length is read whole;
+    repeated rows have equal results; columns of docs with the names above are
+    replaced; an empty table stays empty.
     """
     model = docs.sparkSession.sparkContext.broadcast(train(training, text_col, lang_col))
 
