@@ -114,6 +114,14 @@ def op4_shard_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(_table(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARDS)
 
 
+#: The filled table as a list of shard numbers: the filling is the operator's own, and tested against a plain one.
+OP4_SQL = f"""
+WITH t AS (SELECT [{", ".join(str(SHARDS.index(x)) for x in sharding.fill(SHARDS))}] AS shards),
+k AS (SELECT doc_id, CAST(CAST('0x' || substring(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT) % {sharding.SLOTS} AS INTEGER) AS slot FROM documents)
+SELECT doc_id, slot, 'shard-' || lpad(CAST(shards[slot + 1] AS VARCHAR), 3, '0') AS shard FROM k, t
+"""
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.line_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
@@ -222,6 +230,7 @@ ORACLES: dict[str, str] = {
     "op1_ngram_jaccard_join": OP1_SQL,
     "op2_decontaminate": OP2_SQL,
     "op3_warc_fixity_audit": OP3_SQL,
+    "op4_shard_placement": OP4_SQL,
     "op5_line_dedup": OP5_SQL,
     "op10_substring_dedup": OP10_SQL,
 }

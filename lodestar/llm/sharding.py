@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import fresh
+
 #: Prime, and over 100 slots a shard for up to 655 shards.
 SLOTS = 65537
 #: The table is broadcast: rows of a number and a name, so at most about 100 MB.
@@ -58,19 +60,24 @@ def fill(shards: list[str], slots: int = SLOTS) -> list[str]:
 
 
 def slot_of(key: Column, slots: int = SLOTS) -> Column:
-    """A key's slot; a null key has that of the empty text."""
-    return F.pmod(F.xxhash64(F.coalesce(key.cast("string"), F.lit(""))), F.lit(slots)).cast("int")
+    """A key's slot: 60 bits of the MD5 of its text, modulo the size; a null key has that of the empty text."""
+    digest = F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary"))
+    return F.pmod(F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"), F.lit(slots)).cast("int")
 
 
 def place(rows: DataFrame, key_col: str, shards: list[str], slots: int = SLOTS) -> DataFrame:
     """rows with slot and shard.
 
     Edge cases: null keys share the slot of the empty text; equal keys share a
-    shard, so the key should be that of a row (an id), not of a group;
-    columns of rows with the names above are replaced; no rows give no rows.
+    shard, so the key should be that of a row (an id), not of a group; a key may
+    be of any type that casts to text and of any length; columns of rows with
+    the names above are replaced, also a key of that name once its slot is
+    known; no rows give no rows.
     """
     spark = rows.sparkSession
     schema = T.StructType([T.StructField("slot", T.IntegerType(), False), T.StructField("shard", T.StringType(), False)])
     table = spark.createDataFrame(list(enumerate(fill(shards, slots))), schema)
-    kept = rows.select([F.col(f"`{c}`") for c in rows.columns if c not in ("slot", "shard")])
-    return kept.withColumn("slot", slot_of(F.col(f"`{key_col}`"), slots)).join(F.broadcast(table), "slot").select(*[F.col(f"`{c}`") for c in kept.columns], "slot", "shard")
+    (at,) = fresh(rows, "at")
+    placed = rows.withColumn(at, slot_of(F.col(f"`{key_col}`"), slots))
+    kept = [F.col(f"`{c}`") for c in rows.columns if c not in ("slot", "shard")]
+    return placed.select(*kept, at).join(F.broadcast(table), F.col(at) == F.col("slot")).select(*kept, "slot", "shard")

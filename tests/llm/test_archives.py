@@ -1,5 +1,7 @@
 """The fixity audit and shard placement."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,3 +73,31 @@ def test_placement(spark):
     assert len(out) == 51
     assert all(r["slot"] == r["want"] and r["shard"] == table[r["slot"]] for r in out)
     assert sharding.place(df.limit(0), "doc_id", ["a"]).count() == 0
+
+
+def test_long_keys_and_a_key_named_as_a_result(spark):
+    df = spark.createDataFrame([("k" * 100_000, 1), (None, 2), ("", 3)], "slot string, at int")
+    got = {r["at"]: (r["slot"], r["shard"]) for r in sharding.place(df, "slot", ["a", "b"], 101).collect()}
+    assert got[2] == got[3] and len(got) == 3
+    table = sharding.fill(["a", "b"], 101)
+    for key, at in (("k" * 100_000, 1), ("", 2)):
+        slot = int(hashlib.md5(key.encode()).hexdigest()[:15], 16) % 101
+        assert got[at] == (slot, table[slot])
+
+
+def test_long_bodies_and_many_extras(spark):
+    a = [(i, "u", "body") for i in range(40)] + [(40, "u", "x" * 2_000_000)]
+    b = [(i, "u", "body") for i in range(40)] + [(40, "u", "x" * 1_999_999 + "y")] + [(1000 + i, "u", "h") for i in range(3000)]
+    got = audit(spark, a, b)
+    assert got[0] == (True, 40, "altered") and len(got) == 3001 and {s for *_, s in got[1:]} == {"extra"}
+
+
+def test_descent_reads_differing_branches_alone(spark):
+    """Of two trees that differ in one leaf, the nodes compared below the root are those of its branch."""
+    leaves = spark.range(1 << 18).selectExpr("id AS node", "0 AS copy", "md5(CAST(id AS STRING)) AS hash")
+    both = leaves.union(leaves.selectExpr("node", "1 AS copy", "IF(node = 77000, 'z', hash) AS hash"))
+    levels = [both]
+    for _ in range(3):
+        levels.append(warc_audit._parents(levels[-1]))
+    assert [r["node"] for r in warc_audit.descend(levels).collect()] == [77000]
+    assert warc_audit.descend([x.where("copy = 0").unionByName(x.where("copy = 0").selectExpr("1 AS copy", "node", "hash")) for x in levels]).count() == 0

@@ -1,7 +1,9 @@
 """Language mixtures, secrets, neighbours and tokens."""
 
 import base64
+import collections
 import hashlib
+import math
 import os
 import random
 
@@ -64,6 +66,72 @@ def test_proportions_are_a_maximum():
     assert value == sorted(value)
 
 
+def plain_mixture(text, counts, rounds, penalty, smoothing):
+    """Trigram counts, EM and nested sets, written out; (language, its share, chosen languages with shares)."""
+    langs = sorted(counts)
+    seen = {g for c in counts.values() for g in c}
+    p = {g: [(counts[x].get(g, 0) + smoothing) / (sum(counts[x].values()) + smoothing * (len(seen) + 1)) for x in langs] for g in plain_grams(text)}
+    grams = plain_grams(text)
+    total = sum(grams.values())
+
+    def em(chosen, pi):
+        for _ in range(rounds):
+            new = [0.0] * len(langs)
+            for g, c in grams.items():
+                w = [pi[i] * p[g][i] if i in chosen else 0.0 for i in range(len(langs))]
+                for i in chosen:
+                    new[i] += c * w[i] / sum(w)
+            pi = [x / total for x in new]
+        return pi
+
+    value = lambda pi: sum(c * math.log(sum(a * b for a, b in zip(pi, p[g]))) for g, c in grams.items())
+    single = [sum(c * math.log(p[g][i]) for g, c in grams.items()) for i in range(len(langs))]
+    best = max(range(len(langs)), key=lambda i: single[i])
+    choice, top = [1.0 if i == best else 0.0 for i in range(len(langs))], single[best]
+    full = em(range(len(langs)), [1 / len(langs)] * len(langs))
+    order = sorted(range(len(langs)), key=lambda i: -full[i])
+    cost = penalty * 0.5 * math.log(max(total, 2))
+    for k in range(2, len(langs) + 1):
+        chosen = set(order[:k])
+        begin = [max(full[i], 1e-3) if i in chosen else 0.0 for i in range(len(langs))]
+        pi = em(chosen, [x / sum(begin) for x in begin])
+        if value(pi) - (k - 1) * cost > top:
+            top, choice = value(pi) - (k - 1) * cost, pi
+    share = max(choice)
+    return langs[choice.index(share)], share, {langs[i]: x for i, x in enumerate(choice) if x > 0}
+
+
+def plain_grams(text):
+    kind = lambda b: b - 96 if 97 <= b < 123 else b - 64 if 65 <= b < 91 else 27 + (b - 128) % 37 if b > 127 else 0
+    c = [0, *map(kind, text.encode()), 0]
+    return collections.Counter(t for t in zip(c, c[1:], c[2:]) if any(t))
+
+
+def test_mixtures_are_the_plain_ones(spark, documents, sf_dir):
+    training = spark.read.parquet(f"{sf_dir}/documents.parquet").select("text", "lang").limit(60)
+    rows = training.collect()
+    counts = collections.defaultdict(collections.Counter)
+    for r in rows:
+        if r["text"] and r["lang"]:
+            counts[r["lang"]] += plain_grams(r["text"])
+    by = {x: next(r["text"] for r in rows if r["lang"] == x and r["text"] and len(r["text"]) > 300)[:600] for x in counts}
+    texts = [*by.values(), " ".join(by.values()), list(by.values())[0] + list(by.values())[1], "a", "é", "xq zz"]
+    got = {r["text"]: r for r in langid.identify(documents(list(enumerate(texts))), training).collect()}
+    for t in texts:
+        lang, share, chosen = plain_mixture(t, counts, langid.EM_ROUNDS, langid.PENALTY, langid.SMOOTHING)
+        assert got[t]["lang_pred"] == lang and got[t]["score"] == pytest.approx(share, abs=1e-6)
+        assert dict(zip(got[t]["langs"], got[t]["proportions"])) == pytest.approx(chosen, abs=1e-6)
+
+
+def test_language_edges(spark, documents, monkeypatch):
+    training = spark.createDataFrame([("hello there", "en"), ("hallo da", None), (None, "de"), ("bonjour", "fr")], "text string, lang string")
+    got = langid.identify(documents([(1, "hello " * 200_000), (None, "bonjour"), (None, "bonjour")]), training).select("lang_pred").collect()
+    assert [r["lang_pred"] for r in got] == ["en", "fr", "fr"]
+    monkeypatch.setattr(langid, "MAX_LANGS", 2)
+    with pytest.raises(ValueError, match="over 2 languages"):
+        langid.identify(documents([(1, "x")]), training)
+
+
 # -- secrets -------------------------------------------------------------------
 
 TEXTS = [
@@ -273,6 +341,22 @@ def test_remote_cluster_opens_more_lists(spark, monkeypatch):
     assert np.bincount(at).tolist() == [3, 3] and near[0] == 8 and near[3] == 0
 
 
+def test_many_lists_by_two_steps(spark, monkeypatch):
+    monkeypatch.setattr(ann, "ROWS_A_LIST", 30)
+    monkeypatch.setattr(ann, "FLAT", 8)
+    assert ann.lists_for(2000) == 66 and ann.lists_for(10**9) == ann.MAX_SAMPLE // 16 and ann.lists_for(3) == 1
+    r = np.random.default_rng(4)
+    centres = r.normal(size=(40, 8)) * 4
+    x = {i: (centres[i % 40] + r.normal(size=8)).astype(np.float32).tolist() for i in range(2000)}
+    df = spark.createDataFrame(list(x.items()), "vec_id long, embedding array<float>")
+    index = ann.build_index(df)
+    assert index.lists > 50 and index.rows.count() == 2000
+    rows = ann.nearest_neighbours(df, every=50).collect()
+    assert len(rows) == 400
+    hits = sum(y["vec_id"] in {i for _, i in brute.neighbours(x, y["query_id"], 10)} for y in rows)
+    assert hits >= 0.9 * 400
+
+
 # -- tokens ----------------------------------------------------------------------
 
 
@@ -322,3 +406,12 @@ def test_frames(spark, documents, reference):
         ids = reference.encode_ordinary(r["text"] or "")
         assert (r["n_tokens"], bytes(r["ids"]), bytes(r["decoded"])) == (len(ids), np.array(ids, "<u4").tobytes(), (r["text"] or "").encode())
     assert bpe.bpe_encode(documents([]), RANKS, PATTERN).count() == 0
+
+
+def test_registered_tokens(spark, sf_dir, reference):
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    got = QUERIES["op9_byte_bpe"](spark, sf_dir).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        ids, text = reference.encode_ordinary(docs[r["doc_id"]]), docs[r["doc_id"]].encode()
+        assert tuple(r)[1:] == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(text).hexdigest())
