@@ -6,9 +6,12 @@ fingerprints, so joining the fingerprints finds every shared window; a hit is
 then extended: the windows around it are compared by their own hash, and
 touching windows merge into maximal shared spans.
 
-The benchmark is read in blocks of bounded size, each a broadcast index of at
-most `block_words` words; documents are scanned once, in the partitions they
-come in, and nothing is shuffled.
+A benchmark of at most BROADCAST_CHARS characters is a broadcast index:
+documents are scanned once, in the partitions they come in, and nothing is
+shuffled.  A larger one is joined: fingerprints of both sides meet in a shuffle,
+the texts they name are read again for the windows around them, and those meet
+the benchmark's windows in a second one.  Neither the driver nor a task then
+holds more of the benchmark than one item.
 """
 
 from __future__ import annotations
@@ -18,15 +21,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkernel as K
-from .common import map_columns
+from .common import bounded_batches, cut, fresh, map_columns
 
 WINDOW = 8
 GRAM = 5
-#: Words of one broadcast block of the benchmark: about 40 MB of index.
-BLOCK_WORDS = 1 << 20
+#: A benchmark of more characters (and one for each item) is joined; an index of so many is about 60 MB.
+BROADCAST_CHARS = 1 << 23
 CONTAMINATED_ITEMS = 2
 
 FIELDS = [
@@ -59,7 +63,7 @@ def winnow(grams: np.ndarray, at: np.ndarray, bounds: np.ndarray, width: int) ->
 
 @dataclass
 class Index:
-    """One block of the benchmark: sorted fingerprints, sorted window hashes, and the items of each window."""
+    """A broadcast benchmark: sorted fingerprints, sorted window hashes, and the items of each window."""
 
     prints: np.ndarray
     windows: np.ndarray
@@ -102,19 +106,15 @@ def _lookup(sorted_values: np.ndarray, h: np.ndarray) -> np.ndarray:
     return np.where(sorted_values[i] == h, i, -1)
 
 
-def scan(texts: K.Texts, indexes, window: int, gram: int):
-    """(n_words, n_hit, items, spans) of each text; indexes: an iterable of Index, taken anew for each block."""
+def scan(texts: K.Texts, index: Index, window: int, gram: int):
+    """(n_words, n_hit, items, spans) of each text."""
     for i, j in K.blocks(texts):
         w = K.words_of(K.part(texts, i, j), K.ALNUM, lower=True)
         n = len(w.start)
-        gat, g = K.windows_of(w, gram)
-        picked = winnow(g, gat, w.bounds, window - gram + 1)
-        pat, pg = gat[picked], g[picked]
-        at, h = K.windows_of(w, window)
         hit = np.zeros(n, dtype=bool)
         items: list[set[str]] = [set() for _ in range(j - i)]
 
-        def mark(at, found, k, first, item, ids):
+        def mark(at, found, k, first, item):
             ok = found >= 0
             at, found = at[ok], found[ok]
             if not len(at):
@@ -123,41 +123,166 @@ def scan(texts: K.Texts, indexes, window: int, gram: int):
             doc = np.searchsorted(w.bounds, at, side="right") - 1
             pair = np.unique(doc * len(first) + found)  # a window of one text once, however often it occurs
             for d, f in zip((pair // len(first)).tolist(), (pair % len(first)).tolist()):
-                items[d].update(ids[x] for x in item[first[f] : first[f + 1]])
-
-        for index in indexes():
-            joined = pat[_lookup(index.prints, pg) >= 0]
-            if len(joined) and len(at):
-                # a window holds the fingerprint at one of these offsets
-                near = np.unique((joined[:, None] - np.arange(window - gram + 1)[None, :]).ravel())
-                slot = _lookup(at, near)
-                slot = slot[slot >= 0]
-                mark(at[slot], _lookup(index.windows, h[slot]), window, index.first, index.item, index.ids)
-            for k, (values, first, item) in index.short.items():
-                sat, sh = K.windows_of(w, k)
-                mark(sat, _lookup(values, sh), k, first, item, index.ids)
-        total = np.concatenate(([0], np.cumsum(hit)))
+                items[d].update(index.ids[x] for x in item[first[f] : first[f + 1]])
+
+        at, h = windows_near(w, index.prints, window, gram)
+        mark(at, _lookup(index.windows, h), window, index.first, index.item)
+        for k, (values, first, item) in index.short.items():
+            sat, sh = K.windows_of(w, k)
+            mark(sat, _lookup(values, sh), k, first, item)
         for d in range(j - i):
             a, b = int(w.bounds[d]), int(w.bounds[d + 1])
-            n_hit = int(total[b] - total[a])
-            spans = (np.flatnonzero(np.diff(np.concatenate(([0], hit[a:b].view(np.int8), [0]))))).tolist() if n_hit else []
-            yield b - a, n_hit, sorted(items[d]), spans
-
-
-def _benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int):
-    """Lists of (ids, texts) of at most about block_words words; the driver holds one at a time."""
-    ids: list[str] = []
-    texts: list[str | None] = []
-    size = 0
-    for row in benchmark.select(benchmark[id_col].cast("string"), benchmark[text_col].cast("string")).toLocalIterator():
-        ids.append("null" if row[0] is None else row[0])
-        texts.append(row[1])
-        size += len(row[1] or "") // 2 + 1
-        if size >= block_words:
-            yield ids, texts
-            ids, texts, size = [], [], 0
-    if ids:
-        yield ids, texts
+            yield b - a, *_spans(hit[a:b]), sorted(items[d])
+
+
+def fingerprints(w: K.Words, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, hash) of the k-grams that winnowing keeps."""
+    at, g = K.windows_of(w, gram)
+    kept = winnow(g, at, w.bounds, window - gram + 1)
+    return at[kept], g[kept]
+
+
+def windows_near(w: K.Words, prints: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, hash) of the windows that hold one of the sorted fingerprints."""
+    pat, pg = fingerprints(w, window, gram)
+    joined = pat[_lookup(prints, pg) >= 0]
+    at, h = K.windows_of(w, window)
+    if not len(joined) or not len(at):
+        return at[:0], h[:0]
+    near = np.unique((joined[:, None] - np.arange(window - gram + 1)[None, :]).ravel())
+    slot = _lookup(at, near)
+    slot = slot[slot >= 0]
+    return at[slot], h[slot]
+
+
+def _spans(hit: np.ndarray) -> tuple[int, list[int]]:
+    """(hit words, start and end of each maximal run of them, flat)."""
+    n = int(hit.sum())
+    return n, np.flatnonzero(np.diff(np.concatenate(([0], hit.view(np.int8), [0])))).tolist() if n else []
+
+
+# -- a benchmark too large to broadcast ---------------------------------------------
+
+
+def _item_windows(window: int, gram: int, least: int):
+    """(k, h, item): an item's windows of k words; k of 0: its fingerprints, without the item."""
+
+    def run(batches):
+        for batch in batches:
+            ids = batch.column("item").to_pylist()
+            texts = K.texts_of(batch.column("text"))
+            for i, j in K.blocks(texts):
+                w = K.words_of(K.part(texts, i, j), K.ALNUM, lower=True)
+                counts = w.counts()
+                _, g = fingerprints(w, window, gram)
+                g = np.unique(g)
+                rows = [(np.zeros(len(g), np.int32), g, [None] * len(g))]
+                for k in [window, *(n for n in range(max(1, least), window) if (counts == n).any())]:
+                    at, h = K.windows_of(w, k)
+                    doc = np.searchsorted(w.bounds, at, side="right") - 1
+                    own = counts[doc] == k if k < window else np.ones(len(at), bool)
+                    rows.append((np.full(int(own.sum()), k, np.int32), h[own], [ids[i + d] for d in doc[own].tolist()]))
+                for k, h, item in rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(h.view(np.int64)), pa.array(item, pa.string())], names=["k", "h", "item"])
+
+    return run
+
+
+def _document_keys(window: int, gram: int, short: list[int]):
+    """(a, b, k, h): a text's fingerprints (k of 0), and its windows of the short items' lengths; once each."""
+
+    def run(batches):
+        for batch in batches:
+            texts = K.texts_of(batch.column("text"))
+            keys = [batch.column(c) for c in ("a", "b")]
+            for i, j in K.blocks(texts):
+                w = K.words_of(K.part(texts, i, j), K.ALNUM, lower=True)
+                for k, (at, h) in [(0, fingerprints(w, window, gram)), *((k, K.windows_of(w, k)) for k in short)]:
+                    doc = np.searchsorted(w.bounds, at, side="right") - 1
+                    pair = np.unique(np.rec.fromarrays([doc, h], names="d,h"))
+                    d = pa.array(i + pair.d)
+                    yield pa.RecordBatch.from_arrays([*(x.take(d) for x in keys), pa.array(np.full(len(pair), k, np.int32)), pa.array(np.ascontiguousarray(pair.h).view(np.int64))], names=["a", "b", "k", "h"])
+
+    return run
+
+
+def _extend(window: int, gram: int):
+    """(a, b, k, h, at): the windows around a text's joined fingerprints, and its joined short ones."""
+
+    def run(batches):
+        for batch in batches:
+            keys = [batch.column(c) for c in ("a", "b")]
+            for row in range(batch.num_rows):
+                w = K.words_of(K.texts_of(batch.column("text").slice(row, 1)), K.ALNUM, lower=True)
+                joined = batch.column("joined")[row].as_py()
+                by: dict[int, list[int]] = {}
+                for x in joined:
+                    by.setdefault(x["k"], []).append(x["h"])
+                for k, hashes in by.items():
+                    wanted = np.sort(np.array(hashes, dtype=np.int64).view(np.uint64))
+                    if k == 0:
+                        at, h = windows_near(w, wanted, window, gram)
+                    else:
+                        at, h = K.windows_of(w, k)
+                        ok = _lookup(wanted, h) >= 0
+                        at, h = at[ok], h[ok]
+                    same = pa.array(np.full(len(at), row))
+                    yield pa.RecordBatch.from_arrays([*(x.take(same) for x in keys), pa.array(np.full(len(at), k or window, np.int32)), pa.array(h.view(np.int64)), pa.array(at.astype(np.int64))], names=["a", "b", "k", "h", "at"])
+
+    return run
+
+
+def _joined(docs: DataFrame, benchmark: DataFrame, text: str, window: int, gram: int, least: int) -> DataFrame:
+    """docs, with the hits (at, k) and items of its text in two more columns, null without any.
+
+    Texts are told apart by 128 bits of hash: what many documents have in common
+    is joined once, and no key of a join is an item's or a document's id.
+    """
+    known = benchmark.mapInArrow(_item_windows(window, gram, least), "k int, h long, item string")
+    windows = cut(known.distinct())
+    short = sorted(r["k"] for r in windows.where((F.col("k") > 0) & (F.col("k") < window)).select("k").distinct().collect())  # under `window` numbers
+    a, b, hits, items = fresh(docs, "a", "b", "hits", "items_")
+    keyed = docs.withColumns({a: F.xxhash64(text), b: F.xxhash64(F.lit("second"), F.col(f"`{text}`"))})
+    texts = keyed.select(F.col(a).alias("a"), F.col(b).alias("b"), F.col(f"`{text}`").cast("string").alias("text")).where("text is not null")
+    keys = windows.where(F.col("k") < window).select("k", "h").distinct()
+    met = texts.mapInArrow(_document_keys(window, gram, short), "a long, b long, k int, h long").join(keys, ["k", "h"], "left_semi")
+    met = met.distinct().groupBy("a", "b").agg(F.collect_list(F.struct("k", "h")).alias("joined"))
+    again = texts.groupBy("a", "b").agg(F.first("text").alias("text")).join(met, ["a", "b"])
+    found = again.mapInArrow(_extend(window, gram), "a long, b long, k int, h long, at long")
+    found = cut(found.join(windows.where("k > 0").select("k", "h").distinct(), ["k", "h"], "left_semi"))
+    where = found.groupBy("a", "b").agg(F.collect_list(F.struct("at", "k")).alias(hits))
+    which = found.select("a", "b", "k", "h").distinct().join(windows.where("k > 0"), ["k", "h"]).select("a", "b", "item").distinct()
+    both = where.join(which.groupBy("a", "b").agg(F.sort_array(F.collect_list("item")).alias(items)), ["a", "b"]).withColumnsRenamed({"a": f"{a}_of", "b": f"{b}_of"})
+    return keyed.join(both, (F.col(a) == F.col(f"{a}_of")) & (F.col(b) == F.col(f"{b}_of")), "left").select([F.col(f"`{c}`") for c in docs.columns] + [F.col(hits), F.col(items)])
+
+
+def _decontaminate_joined(docs: DataFrame, benchmark: DataFrame, text_col: str, window: int, gram: int, least: int) -> DataFrame:
+    bounded_batches(docs.sparkSession)
+    names = [f.name for f in FIELDS]
+    docs = docs.select([F.col(f"`{c}`") for c in docs.columns if c not in names])
+    rows = _joined(docs, benchmark, text_col, window, gram, least)
+    schema = T.StructType([*docs.schema.fields, *FIELDS])
+    names = schema.names
+
+    def run(batches):
+        for batch in batches:
+            given, found = batch.columns[:-2], batch.columns[-2].to_pylist()
+            items = [x or [] for x in batch.columns[-1].to_pylist()]
+            words: list[int] = []
+            text = batch.column(text_col)
+            for i, j in K.blocks(texts := K.texts_of(text)):
+                words += K.words_of(K.part(texts, i, j), K.ALNUM, lower=True, hashes=False).counts().tolist()
+            hit, spans = [], []
+            for n, places in zip(words, found):
+                covered = np.zeros(n, dtype=bool)
+                for x in places or ():
+                    covered[x["at"] : x["at"] + x["k"]] = True
+                count, flat = _spans(covered)
+                hit.append(count)
+                spans.append(flat)
+            yield pa.RecordBatch.from_arrays([*given, pa.array(words, pa.int64()), pa.array(hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.int64()))], names=names)
+
+    return rows.mapInArrow(run, schema)
 
 
 def decontaminate(
@@ -168,7 +293,7 @@ def decontaminate(
     item_text_col: str = "text",
     window: int = WINDOW,
     gram: int = GRAM,
-    block_words: int = BLOCK_WORDS,
+    broadcast_chars: int = BROADCAST_CHARS,
     min_item_words: int = 1,
 ) -> DataFrame:
     """docs with n_words, n_hit, items (ids of the items that occur, sorted) and
@@ -182,15 +307,23 @@ def decontaminate(
 
     Edge cases: a null or empty document has no words and no hits; an item
     without words matches nothing; a null item id reads as 'null'; items that
-    share an id count once; an empty benchmark gives no hits; columns of docs
-    with the names above are replaced.
+    share an id count once; an empty benchmark gives no hits; a text of any
+    length is read whole; rows are judged each on its own, whatever their ids;
+    columns of docs with the names above are replaced; an empty table stays
+    empty.
     """
-    sc = docs.sparkSession.sparkContext
-    held = [sc.broadcast(index_of(ids, texts, window, gram, min_item_words)) for ids, texts in _benchmark_blocks(benchmark, item_id_col, item_text_col, block_words)]
+    if not 1 <= min_item_words <= window:
+        raise ValueError("min_item_words is from 1 to the window")
+    items = benchmark.select(F.coalesce(F.col(f"`{item_id_col}`").cast("string"), F.lit("null")).alias("item"), F.col(f"`{item_text_col}`").cast("string").alias("text"))
+    size = items.agg(F.sum(F.coalesce(F.length("text"), F.lit(0)) + 1)).first()[0] or 0
+    if size > broadcast_chars:
+        return _decontaminate_joined(docs, items, text_col, window, gram, min_item_words)
+    rows = items.collect()  # broadcast_chars characters at most
+    index = docs.sparkSession.sparkContext.broadcast(index_of([r["item"] for r in rows], [r["text"] for r in rows], window, gram, min_item_words))
 
     def columns(text: pa.Array) -> list[pa.Array]:
-        rows = list(scan(K.texts_of(text), lambda: (b.value for b in held), window, gram))
-        cols = list(zip(*rows)) or [(), (), (), ()]
-        return [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.string())), pa.array(cols[3], pa.list_(pa.int64()))]
+        found = list(scan(K.texts_of(text), index.value, window, gram))
+        n_words, n_hit, spans, hit_items = zip(*found) if found else ((), (), (), ())
+        return [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(hit_items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.int64()))]
 
     return map_columns(docs, text_col, columns, FIELDS)

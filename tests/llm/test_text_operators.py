@@ -117,8 +117,8 @@ def test_long_runs_of_short_lines_and_a_hot_blank_line(documents, spark):
     assert sum(x[2] for x in got) > 1500
 
 
-@pytest.mark.parametrize("seed, block_words", [(1, 1 << 20), (2, 50)])
-def test_decontamination(spark, documents, seed, block_words):
+@pytest.mark.parametrize("seed, broadcast_chars", [(1, 1 << 20), (2, 1 << 20), (2, 0), (3, 0)])
+def test_decontamination(spark, documents, seed, broadcast_chars):
     r = random.Random(seed)
     vocab = [f"w{i}" for i in range(40)]
     text = lambda n: r.choice([" ", ", ", "-"]).join(r.choice(vocab) for _ in range(n))
@@ -132,15 +132,34 @@ def test_decontamination(spark, documents, seed, block_words):
             w[at:at] = chunk[r.randrange(3) : 15]
         rows.append((i, " ".join(w)))
     benchmark = spark.createDataFrame(items, "item_id long, text string")
-    got = {x["doc_id"]: (x["n_words"], x["n_hit"], list(x["items"])) for x in decontaminate(documents(rows, ["items", "spans"]), benchmark, block_words=block_words).collect()}
+    got = {x["doc_id"]: (x["n_words"], x["n_hit"], list(x["items"])) for x in decontaminate(documents(rows, ["items", "spans", "a", "hits", "a_of"]), benchmark, broadcast_chars=broadcast_chars).collect()}
     assert got == {i: brute.contamination(t, items, 8) for i, t in rows}
 
 
-def test_decontamination_spans_and_empty_benchmark(spark, documents):
+@pytest.mark.parametrize("broadcast_chars", [1 << 20, 0])
+def test_decontamination_spans_and_edges(spark, documents, broadcast_chars):
     benchmark = spark.createDataFrame([(1, "a b c d e f g h i"), (None, "k l")], "item_id long, text string")
-    row = decontaminate(documents([(1, "x A B C D E F G H I x k l")]), benchmark).first()
-    assert (row["spans"], row["items"]) == ([1, 10, 11, 13], ["1", "null"])
-    assert decontaminate(documents([(1, "a b c")]), benchmark.limit(0)).first()["items"] == []
+    rows = [(1, "x A B C D E F G H I x k l"), (1, "x A B C D E F G H I x k l"), (None, "k l"), (7, None), (8, "q " * 50_000 + "k l")]
+    got = decontaminate(documents(rows), benchmark, broadcast_chars=broadcast_chars).collect()
+    found = sorted(((r["doc_id"], r["n_words"], r["spans"], r["items"]) for r in got), key=str)
+    assert found == sorted([(1, 13, [1, 10, 11, 13], ["1", "null"])] * 2 + [(None, 2, [0, 2], ["null"]), (7, 0, [], []), (8, 50_002, [50_000, 50_002], ["null"])], key=str)
+    few = decontaminate(documents(rows), benchmark, broadcast_chars=broadcast_chars, min_item_words=3).where("n_hit > 0").collect()
+    assert [(r["doc_id"], r["items"]) for r in few] == [(1, ["1"])] * 2
+    assert decontaminate(documents([(1, "a b c")]), benchmark.limit(0), broadcast_chars=broadcast_chars).first()["items"] == []
+    assert decontaminate(documents([]), benchmark, broadcast_chars=broadcast_chars).count() == 0
+    with pytest.raises(ValueError):
+        decontaminate(documents([]), benchmark, min_item_words=9)
+
+
+def test_the_joined_benchmark_leaves_the_driver_alone(spark, documents, monkeypatch):
+    """Above the bound nothing of the benchmark is collected or broadcast but its short lengths."""
+    from lodestar.llm import decontaminate as module
+
+    monkeypatch.setattr(module, "index_of", None)
+    items = [(i, " ".join(f"w{i}x{j}" for j in range(30))) for i in range(3000)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate(documents([(5, "so " + items[77][1]), (6, "clean")]), benchmark, broadcast_chars=10_000).collect()
+    assert sorted((r["doc_id"], r["n_hit"], r["items"]) for r in got) == [(5, 30, ["77"]), (6, 0, [])]
 
 
 @pytest.mark.parametrize("op", [jaccard_components, substring_dedup, line_dedup])
