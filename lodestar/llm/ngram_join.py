@@ -10,18 +10,25 @@ link when their Jaccard similarity reaches a percentage.  The join is exact:
    links with nothing and is done; most end here.
 3. The others are partitioned into groups of similar documents (the smallest
    token hash, split where a group holds many tokens).  A group is one row with
-   its members' tokens.  The matrix has a row for each token and group, limited
-   to the tokens of some member's prefix: in one order of all tokens, rare ones
-   first, two linked sets share a token within both prefixes.
-4. Groups that meet in a token of the matrix are a candidate pair.  Each member
-   is bound against the other group's token union; members that qualify are
-   opened and their intersections counted.  A pair returns each local component
-   as a star, not its links.
-5. Stars merge into components by minimum-label propagation with pointer
-   jumping.
+   its members' tokens and their union.  The matrix has a row for each token and
+   group, limited to the tokens of some member's prefix: in one order of all
+   tokens, rare ones first, two linked sets share a token within both prefixes.
+4. A document asks the groups that the matrix gives for its prefix.  It travels
+   to a group, where its overlap with the group's union is bound first; only if
+   that allows the percentage is the group opened and intersections counted.
+   What is found returns as stars, not as links.
+5. This goes in two turns.  In the first a group is compared within itself, and
+   each token's documents ask one of its groups, so the members of a large
+   cluster meet in few steps.  Components are then known, and in the second turn
+   a document asks a group only if they may belong to different ones: groups
+   that a token finds in one component are one row, and of two rows the one with
+   fewer documents asks.
+6. Components come from contraction: every node that has a smaller neighbour
+   goes into it, until no edge is left.
 
 Hot groups stay bounded: equal sets are one class before anything is compared,
-a group is cut by token count, and groups, not documents, are paired.
+a group and those that ask it are cut by token count, and a cluster in many
+groups is linked through one of them, not in all pairs.
 """
 
 from __future__ import annotations
@@ -43,6 +50,10 @@ GROUP_TOKENS = 1 << 16
 #: Counters of the fixed-size sketch that orders tokens by frequency.
 SKETCH = 1 << 18
 SLICES = 64
+#: Tokens of the documents that ask a group together, at most about.
+ASKED_TOKENS = 1 << 17
+#: Rows equal in id and text beyond which they are made one before texts are placed.
+REPEATED_ROWS = 64
 
 
 def token_sets(texts: K.Texts, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,7 +100,7 @@ def _describe(size: int):
         for batch in batches:
             tokens, bounds = token_sets(K.texts_of(batch.column("text")), size)
             a, b = _fingerprints(tokens, bounds)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(bounds), pa.int64()), pa.array(a), pa.array(b)], names=["doc_id", "n", "fa", "fb"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(np.diff(bounds), pa.int64()), pa.array(a), pa.array(b)], names=["doc_id", "h", "n", "fa", "fb"])
 
     return describe
 
@@ -189,34 +200,35 @@ def _add(table: pa.Table) -> pa.Table:
 
 
 def _prefixes(shared_sketch, percent: int):
-    """(token, gid, lo, hi) for the prefix tokens of each document, distinct within a batch."""
+    """(token, gid, doc_id, n) for the prefix tokens of each document."""
 
     def prefixes(batches):
         counts = shared_sketch.value
         for batch in batches:
-            got: dict[tuple[int, int], tuple[int, int]] = {}
-            for gid, n, blob in zip(batch.column("gid").to_pylist(), batch.column("n").to_pylist(), batch.column("tokens")):
+            found, docs = [], []
+            for row, (n, blob) in enumerate(zip(batch.column("n").to_pylist(), batch.column("tokens"))):
                 t = np.frombuffer(blob.as_buffer(), np.uint64)
                 # of the whole set's first n - ceil(n * percent / 100) + 1 tokens, the n - len(t) unshared ones come first
                 take = n - -(-n * percent // 100) + 1 - (n - len(t))
                 order = np.lexsort((t, counts[(t % np.uint64(SKETCH)).astype(np.int64)]))[: max(0, take)]
-                for x in t[order].view(np.int64).tolist():
-                    lo, hi = got.get((x, gid), (n, n))
-                    got[x, gid] = min(lo, n), max(hi, n)
-            if got:
-                k, v = list(zip(*got)), list(zip(*got.values()))
-                yield pa.RecordBatch.from_arrays([pa.array(k[0], pa.int64()), pa.array(k[1], pa.int64()), pa.array(v[0], pa.int64()), pa.array(v[1], pa.int64())], names=["token", "gid", "lo", "hi"])
+                found.append(t[order].view(np.int64))
+                docs.append(np.full(len(order), row))
+            if found:
+                at = pa.array(np.concatenate(docs))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), *(batch.column(c).take(at) for c in ("gid", "doc_id", "n"))], names=["token", "gid", "doc_id", "n"])
 
     return prefixes
 
 
 def _bundle(table: pa.Table) -> pa.Table:
-    """One row for a group: its documents, their sizes and tokens."""
+    """One row for a group: its documents, their sizes and tokens, and the union of the tokens."""
     table = table.sort_by("doc_id")
     blobs = table["tokens"].to_pylist()
+    tokens = b"".join(blobs)
+    union = np.unique(np.frombuffer(tokens, np.uint64)).tobytes()
     return pa.table(
-        [pa.array([table["gid"][0].as_py()], pa.int64()), pa.array([table["doc_id"].to_pylist()], pa.list_(pa.int64())), pa.array([table["n"].to_pylist()], pa.list_(pa.int64())), pa.array([[len(b) // 8 for b in blobs]], pa.list_(pa.int64())), pa.array([b"".join(blobs)], pa.binary())],
-        names=["gid", "ids", "sizes", "lengths", "tokens"],
+        [pa.array([table["gid"][0].as_py()], pa.int64()), pa.array([table["doc_id"].to_pylist()], pa.list_(pa.int64())), pa.array([table["n"].to_pylist()], pa.list_(pa.int64())), pa.array([[len(b) // 8 for b in blobs]], pa.list_(pa.int64())), pa.array([tokens], pa.binary()), pa.array([union], pa.binary())],
+        names=["gid", "ids", "sizes", "lengths", "tokens", "union"],
     )
 
 
@@ -290,10 +302,8 @@ def intersections(a: Group, b: Group) -> np.ndarray:
 
 def stars(a: Group, b: Group, percent: int, same: bool) -> list[tuple[int, int]]:
     """(document, smallest document of its component) over the links between a and b."""
-    if not same:
-        a, b = a.take(a.bound(np.unique(b.tokens), percent)), b.take(b.bound(np.unique(a.tokens), percent))
-        if not len(a.n) or not len(b.n):
-            return []
+    if not same and not (len(a.n) and len(b.n)):
+        return []
     common = intersections(a, b)
     link = 100 * common >= percent * (a.n[:, None] + b.n[None, :] - common)
     if same:
@@ -324,33 +334,89 @@ def stars(a: Group, b: Group, percent: int, same: bool) -> list[tuple[int, int]]
 
 
 def _open(percent: int):
-    def open_(table: pa.Table) -> pa.Table:
-        a, b = table["a"][0].as_py(), table["b"][0].as_py()
-        groups = {}
-        for r in table.select(["gid", "ids", "sizes", "lengths", "tokens"]).to_pylist():
-            groups[r["gid"]] = Group(r["ids"], r["sizes"], r["lengths"], r["tokens"])
-        got = stars(groups[a], groups[b], percent, a == b)
+    def open_(groups: pa.Table, asking: pa.Table) -> pa.Table:
+        """Links of a group's members with the documents that ask it, and, in its first slice, among themselves."""
+        got: list[tuple[int, int]] = []
+        if groups.num_rows:
+            r = groups.slice(0, 1).to_pylist()[0]
+            own = Group(r["ids"], r["sizes"], r["lengths"], r["tokens"])
+            if r["within"]:
+                got += stars(own, own, percent, True)
+            if asking.num_rows:
+                blobs = asking["tokens"].to_pylist()
+                some = Group(asking["doc_id"].to_pylist(), asking["n"].to_pylist(), [len(b) // 8 for b in blobs], b"".join(blobs))
+                some = some.take(some.bound(np.frombuffer(r["union"], np.uint64), percent))
+                if len(some.n):  # the group is opened
+                    got += stars(some, own.take(own.bound(np.unique(some.tokens), percent)), percent, False)
         return pa.table([pa.array([x for x, _ in got], pa.int64()), pa.array([y for _, y in got], pa.int64())], names=["u", "v"])
 
     return open_
 
 
+def _answers(asks: DataFrame, grouped: DataFrame, bundles: DataFrame, percent: int, within: bool) -> DataFrame:
+    """Edges (u, v) between documents and the groups they ask (doc_id, asked); within: also inside of each group."""
+    told = asks.join(grouped.select("doc_id", "n", "tokens"), "doc_id")
+    many = told.groupBy("asked").agg(F.ceil(F.sum(F.octet_length("tokens") / 8) / ASKED_TOKENS).cast("int").alias("slices"))
+    many = cut(many)
+    told = told.join(many, "asked").withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.greatest("slices", F.lit(1))).cast("int"))
+    opened = bundles.join(many, bundles["gid"] == many["asked"], "left" if within else "inner").drop("asked")
+    opened = opened.withColumn("slice", F.explode(F.sequence(F.lit(0), F.greatest(F.coalesce("slices", F.lit(1)), F.lit(1)) - 1)))
+    opened = opened.withColumn("within", F.lit(within) & (F.col("slice") == 0) & (F.size("ids") > 1)).drop("slices")
+    told = told.select(F.col("asked").alias("gid"), "slice", "doc_id", "n", "tokens")
+    return cut(opened.groupBy("gid", "slice").cogroup(told.groupBy("gid", "slice")).applyInArrow(_open(percent), "u long, v long").distinct())
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node and component (its smallest node) of every node of the edges (u, v).
 
-    Labels spread to neighbours as minima, and each label then takes its own
-    label (pointer jumping), so chains shorten by halves.
+    Every node that has a smaller neighbour goes into the smallest of them, and
+    on into what that goes into (pointer jumping); edges between what is left
+    make the next round.  Nodes go once, so rounds are few, and no join gathers
+    a component: its nodes are partially aggregated, or one side of a join whose
+    other side has a row a key.
     """
-    both = cut(edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v").distinct())
-    labels = cut(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("component")))
-    while True:
-        near = both.join(labels.withColumnsRenamed({"node": "v", "component": "c"}), "v").groupBy(F.col("u").alias("node")).agg(F.min("c").alias("c"))
-        spread = labels.join(near, "node").select("node", F.least("component", "c").alias("component"), F.col("component").alias("old"))
-        up = spread.select(F.col("node").alias("component"), F.col("component").alias("top"))
-        new = cut(spread.join(up, "component").select("node", F.least("component", "top").alias("component"), (F.least("component", "top") < F.col("old")).alias("moved")))
-        labels = new.select("node", "component")
-        if new.where("moved").isEmpty():
-            return labels
+    left = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
+    left = cut(left)
+    found = None
+    while not left.isEmpty():
+        into = cut(left.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")))
+        while True:
+            up = into.select(F.col("node").alias("component"), F.col("component").alias("top"))
+            new = cut(into.join(up, "component", "left").select("node", F.coalesce("top", "component").alias("component"), F.col("top").isNotNull().alias("moved")))
+            into = new.select("node", "component")
+            if new.where("moved").isEmpty():
+                break
+        to = lambda c: into.select(F.col("node").alias(c), F.col("component").alias(f"{c}_"))
+        moved = left.join(to("u"), "u").join(to("v"), "v", "left").select("u_", F.coalesce("v_", "v").alias("v_"))
+        left = cut(moved.select(F.greatest("u_", "v_").alias("u"), F.least("u_", "v_").alias("v")).where("u <> v").distinct())
+        if found is not None:
+            up = into.select(F.col("node").alias("component"), F.col("component").alias("top"))
+            found = cut(found.join(up, "component", "left").select("node", F.coalesce("top", "component").alias("component")).unionAll(into))
+        else:
+            found = into
+    if found is None:
+        return left.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    roots = found.select(F.col("component").alias("node"), "component").distinct()
+    return found.unionAll(roots)
+
+
+def _second_turn(prefixes: DataFrame, known: DataFrame, asked: DataFrame, percent: int) -> DataFrame:
+    """What documents ask once components are known: (doc_id, asked)."""
+    labelled = prefixes.join(known.withColumnsRenamed({"node": "doc_id"}), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    mixed = cut(labelled.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("token"))
+    rows = cut(labelled.join(mixed, "token", "left_semi"))
+    # A group in which the token finds one component, or a group of several.
+    of_group = rows.groupBy("token", "gid").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.count("*").alias("docs"))
+    pure = F.col("a") == F.col("b")
+    of_group = cut(of_group.select("token", "gid", pure.alias("pure"), F.when(pure, F.col("a")).otherwise(F.col("gid")).alias("id"), "lo", "hi", "docs"))
+    sides = cut(of_group.groupBy("token", "pure", "id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("docs").alias("docs"), F.collect_list("gid").alias("gids")))
+    other = sides.select("token", *(F.col(c).alias(f"{c}_b") for c in ("pure", "id", "lo", "hi", "docs", "gids")))
+    fits = (100 * F.col("hi") >= percent * F.col("lo_b")) & (100 * F.col("hi_b") >= percent * F.col("lo"))
+    smaller = (F.col("docs") < F.col("docs_b")) | ((F.col("docs") == F.col("docs_b")) & (F.struct("pure", "id") < F.struct("pure_b", "id_b")))
+    pairs = sides.join(other, "token").where(fits & smaller).select("token", "pure", "id", F.explode("gids_b").alias("asked"))
+    askers = rows.select("token", "gid", "doc_id").join(of_group.select("token", "gid", "pure", "id"), ["token", "gid"])
+    asks = askers.join(pairs, ["token", "pure", "id"]).where("gid <> asked").select("doc_id", "asked").distinct()
+    return cut(asks.join(asked, ["doc_id", "asked"], "left_anti"))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -371,13 +437,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     buckets, chunks = BUCKETS_EACH * n, CHUNKS_EACH * n
     least = F.lit(-(2**63)).cast("long")
     # null ids take the smallest long inside
-    rows = rows.select(F.coalesce("doc_id", least).alias("doc_id"), "text")
-    each = rows.mapInArrow(_describe(shingle), "doc_id long, n long, fa long, fb long")
-    each = cut(each)
-    classes = each.where("n > 0").groupBy("fa", "fb", "n").agg(F.min("doc_id").alias("doc_id"))
-    chunk_of = lambda c: F.pmod(F.xxhash64(c), F.lit(chunks)).cast("int")
-    placed = rows.withColumn("chunk", chunk_of("doc_id")).repartition(n, "chunk")
-    reps = classes.select(chunk_of("doc_id").alias("chunk"), "doc_id", "fa", F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("long").alias("m"), F.lit(None).cast("binary").alias("bits"))
+    rows = rows.select(F.coalesce("doc_id", least).alias("doc_id"), F.xxhash64("text").alias("h"), "text")
+    each = cut(rows.mapInArrow(_describe(shingle), "doc_id long, h long, n long, fa long, fb long"))
+    classes = each.where("n > 0").groupBy("fa", "fb", "n").agg(F.min(F.struct("doc_id", "h")).alias("first")).select("fa", "fb", "n", "first.*")
+    # A chunk is a part of the hash of id and text, so an id that many rows share is no chunk's alone.
+    chunk_of = F.pmod(F.xxhash64("doc_id", "h"), F.lit(chunks)).cast("int").alias("chunk")
+    if not each.groupBy("doc_id", "h").count().where(F.col("count") > REPEATED_ROWS).isEmpty():
+        rows = rows.dropDuplicates(["doc_id", "h"])
+    placed = rows.select(chunk_of, "doc_id", "text").repartition(n, "chunk")
+    reps = classes.select(chunk_of, "doc_id", "fa", F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("long").alias("m"), F.lit(None).cast("binary").alias("bits"))
     sent = placed.groupBy("chunk").cogroup(reps.groupBy("chunk")).applyInArrow(_send(shingle, buckets), "chunk int, bucket int, hashes binary")
     marks = sent.repartitionById(buckets, F.col("bucket")).mapInArrow(_mark, "chunk int, bucket int, m long, bits binary")
     marks = marks.select("chunk", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("fa"), "bucket", "m", "bits")
@@ -394,18 +462,21 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     keyed = survivors.select("doc_id", "n", "tokens", F.xxhash64(F.substring("tokens", 1, 8)).alias("least"))
     sizes = keyed.groupBy("least").agg(F.ceil(F.sum(F.octet_length("tokens") / 8) / GROUP_TOKENS).alias("parts"))
     grouped = keyed.join(sizes, "least").select("doc_id", "n", "tokens", F.xxhash64("least", F.pmod(F.xxhash64("doc_id"), F.greatest("parts", F.lit(1)))).alias("gid"))
-    matrix = grouped.mapInArrow(_prefixes(sketch, percent), "token long, gid long, lo long, hi long").groupBy("token", "gid").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    matrix = cut(matrix)
-    many = matrix.groupBy("token").count().where("count > 1").select("token")
-    shared = matrix.join(many, "token")
-    other = shared.select("token", *(F.col(c).alias(f"{c}_b") for c in ("gid", "lo", "hi")))
-    fits = (F.col("gid") < F.col("gid_b")) & (100 * F.col("hi") >= percent * F.col("lo_b")) & (100 * F.col("hi_b") >= percent * F.col("lo"))
-    pairs = shared.join(other, "token").where(fits).select(F.col("gid").alias("a"), F.col("gid_b").alias("b")).distinct()
-    bundles = cut(grouped.groupBy("gid").applyInArrow(_bundle, "gid long, ids array<long>, sizes array<long>, lengths array<long>, tokens binary"))
-    selves = bundles.where(F.size("ids") > 1).select(F.col("gid").alias("a"), F.col("gid").alias("b"))
-    wanted = pairs.union(selves).select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("gid"))
-    edges = wanted.join(bundles, "gid").groupBy("a", "b").applyInArrow(_open(percent), "u long, v long")
-    comp = components(edges)
+    grouped = cut(grouped)
+    bundles = cut(grouped.groupBy("gid").applyInArrow(_bundle, "gid long, ids array<long>, sizes array<long>, lengths array<long>, tokens binary, union binary"))
+    prefixes = cut(grouped.select("gid", "doc_id", "n", "tokens").mapInArrow(_prefixes(sketch, percent), "token long, gid long, doc_id long, n long"))
+    # The first turn: all of a token's documents ask the first of its groups.
+    first = cut(prefixes.groupBy("token").agg(F.min("gid").alias("asked"), F.max("gid").alias("last")).where("asked <> last").select("token", "asked"))
+    asked = cut(prefixes.join(first, "token").where("gid <> asked").select("doc_id", "asked").distinct())
+    known = cut(components(_answers(asked, grouped, bundles, percent, True)))
+    # The second: who may still belong together and has not met.
+    asks = _second_turn(prefixes, known, asked, percent)
+    links = _answers(asks, grouped, bundles, percent, False)
+    of = lambda c: known.select(F.col("node").alias(c), F.col("component").alias(f"{c}_"))
+    merged = components(links.join(of("u"), "u", "left").join(of("v"), "v", "left").select(F.coalesce("u_", "u").alias("u"), F.coalesce("v_", "v").alias("v")))
+    merged = cut(merged.select(F.col("node").alias("component"), F.col("component").alias("top")))
+    comp = known.join(merged, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+    comp = comp.unionAll(merged.select(F.col("component").alias("node"), F.col("top").alias("component")).join(known, "node", "left_anti"))
 
     of_class = classes.join(comp.select(F.col("node").alias("doc_id"), F.col("component")), "doc_id", "left").select("fa", "fb", "n", F.coalesce("component", "doc_id").alias("component"))
     # Empty documents are in no class; they stay out of the join, where they would meet in one key.
