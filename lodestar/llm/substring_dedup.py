@@ -53,15 +53,42 @@ def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-def _ordered(ids: pa.Array, text: pa.Array) -> np.ndarray:
-    """Row order by id, nulls first; rows that share an id by text, so that any arrival order gives the same."""
+def _ordered(ids: pa.Array, h: pa.Array, text: pa.Array) -> np.ndarray:
+    """Row order by id, nulls first; rows that share an id by a hash of their text, then the text, so that any arrival order gives the same."""
     key = np.asarray(ids.cast(pa.int64()).fill_null(np.iinfo(np.int64).min))
-    order = np.argsort(key, kind="stable")
-    if len(key) > 1 and (np.diff(key[order]) == 0).any():
-        order = np.array(sorted(order.tolist(), key=lambda i: (key[i], text[i].as_py() or "")), dtype=np.int64)
+    h = np.asarray(h).astype(np.int64).view(np.uint64)
+    order = np.lexsort((h, key))
+    if len(key) > 1 and ((np.diff(key[order]) == 0) & (np.diff(h[order]) == 0)).any():
+        order = np.array(sorted(order.tolist(), key=lambda i: (key[i], h[i], text[i].as_py() or "")), dtype=np.int64)
     return order
 
 
+class Chunks:
+    """Which chunk a row is of: ranges of ids, and within an id of very many rows ranges of the hash; chunk numbers are in (id, hash) order."""
+
+    def __init__(self, bounds: list[float], heavy: dict[float, int]):
+        """bounds: ids that begin a range; heavy: ids with the number of chunks they take."""
+        self.bounds = np.array(sorted({*bounds, *heavy, *(np.nextafter(x, np.inf) for x in heavy)}), dtype=np.float64)
+        self.parts = np.ones(len(self.bounds) + 1, dtype=np.int64)
+        for x, n in heavy.items():
+            self.parts[np.searchsorted(self.bounds, x, side="right")] = n
+        self.first = np.cumsum(self.parts) - self.parts
+
+    def of(self, ids: np.ndarray, h: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.bounds, ids.astype(np.float64), side="right")
+        high = h.astype(np.int64).view(np.uint64) >> np.uint64(32)
+        return self.first[at] + (high * self.parts[at].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+
+
+def _chunks(rows: DataFrame, chunks: int) -> Chunks:
+    """About `chunks` ranges of equally many rows; what the driver gets is of that order."""
+    bounds = rows.approxQuantile("doc_id", [i / chunks for i in range(1, chunks)], 0.25 / chunks) or []
+    fair = max(1, rows.count() // chunks)
+    counts = rows.groupBy("doc_id").count().where(F.col("count") > 2 * fair).collect()  # chunks / 2 ids at most
+    least = -(2.0**63)
+    return Chunks([float(x) for x in bounds], {least if r["doc_id"] is None else float(r["doc_id"]): -(-r["count"] // fair) for r in counts})
+
+
 def _chunk_windows(texts: K.Texts, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(global word index, hash) of every window of a chunk, in (document, start) order."""
     ats, hs, base = [], [], 0
@@ -119,8 +146,8 @@ def _mark(batches):
 def _keep(k: int, buckets: int):
     def keep(docs: pa.Table, marks: pa.Table) -> pa.Table:
         docs = docs.combine_chunks()
-        ids, text = (pa.concat_arrays(docs[c].chunks) if docs[c].num_chunks else pa.array([], docs.schema.field(c).type) for c in ("doc_id", "text"))
-        order = _ordered(ids, text)
+        ids, h, text = (pa.concat_arrays(docs[c].chunks) if docs[c].num_chunks else pa.array([], docs.schema.field(c).type) for c in ("doc_id", "h", "text"))
+        order = _ordered(ids, h, text)
         ids, text = ids.take(pa.array(order)), text.take(pa.array(order))
         texts = K.texts_of(text)
         at, h = _chunk_windows(texts, k)
@@ -176,21 +203,21 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     in the same document further left.  Windows are those of the input.
 
     Edge cases: a null text has no words and a kept text of ''; a text shorter
-    than the window keeps all its words; a null id counts as the smallest;
-    rows that share an id are ordered by text, and of equal rows one is first;
-    an empty table gives an empty result; other columns are not read.
+    than the window keeps all its words, one of any length is whole; a null id
+    counts as the smallest; rows that share an id are ordered by a hash of their
+    text, and of equal rows one is first; an empty table gives an empty result;
+    other columns are not read.
     """
     bounded_batches(docs.sparkSession)
-    rows = keyed_text(docs, id_col, text_col)
+    rows = keyed_text(docs, id_col, text_col).withColumn("h", F.xxhash64("text"))
     n = partitions_for(rows)
-    chunks = CHUNKS_EACH * n
-    bounds = np.array(sorted(set(rows.approxQuantile("doc_id", [i / chunks for i in range(1, chunks)], 0.25 / chunks) or [0.0])), dtype=np.float64)
+    ranges = _chunks(rows, CHUNKS_EACH * n)
 
     @F.pandas_udf("int")
-    def chunk_of(ids: pd.Series) -> pd.Series:  # ids only: the texts stay in the JVM
-        return pd.Series(np.searchsorted(bounds, ids.fillna(-(2**63)).to_numpy(np.float64), side="right"), dtype="int32")
+    def chunk_of(ids: pd.Series, h: pd.Series) -> pd.Series:  # the texts stay in the JVM
+        return pd.Series(ranges.of(ids.fillna(-(2**63)).to_numpy(), h.to_numpy()).astype("int32"))
 
-    rows = rows.withColumn("chunk", chunk_of("doc_id")).repartition(n, "chunk")
+    rows = rows.withColumn("chunk", chunk_of("doc_id", "h")).repartition(n, "chunk")
     buckets = BUCKETS_EACH * n
     # All columns go in, unused ones too: the exchange below is then the same as that of the last step, and runs once.
     sent = rows.sortWithinPartitions("chunk").mapInArrow(_send(window, buckets), "chunk int, bucket int, hashes binary")

@@ -2,13 +2,14 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lodestar.llm.decontaminate import decontaminate
 from lodestar.llm.line_dedup import line_dedup
 from lodestar.llm.ngram_join import jaccard_components
-from lodestar.llm.substring_dedup import substring_dedup
+from lodestar.llm.substring_dedup import Chunks, substring_dedup
 from tests.llm import brute
 
 VOCAB = "a b c d e f g h The THE é ß x, y. 漢字".split()
@@ -66,6 +67,39 @@ def test_jaccard_hot_group(documents, monkeypatch):
     assert got == brute.jaccard_components(rows, 4, 85)
 
 
+def test_substrings_of_an_id_of_many_rows(documents):
+    """A third of all rows has no id, another one id; texts of one id are ordered by their hash."""
+    import xxhash
+
+    r = random.Random(6)
+    words = [" ".join(f"w{r.randrange(9)}" for _ in range(r.randrange(30))) for _ in range(120)]
+    rows = [(None if i % 3 == 0 else 5 if i % 3 == 1 else i, t) for i, t in enumerate(words)]
+    chunks = Chunks([4.0, 60.0], {-(2.0**63): 5, 5.0: 4})
+    h = {t: xxhash.xxh64_intdigest(t.encode(), 42) for t in words}
+    order = sorted(rows, key=lambda x: (-(2**63) if x[0] is None else x[0], h[x[1]], x[1]))
+    of = chunks.of(np.array([-(2**63) if i is None else i for i, _ in order]), np.array([h[t] for _, t in order], np.uint64).view(np.int64))
+    assert (np.diff(of) >= 0).all() and of.max() == 13 and len(set(of.tolist())) >= 10
+    numbered = {(i, t): k for k, (i, t) in enumerate(order)}
+    want = sorted((k, n, gone, kept) for k, n, gone, kept in brute.repeated_windows([(numbered[x], x[1]) for x in rows], 4))
+    got = substring_dedup(documents(rows), window=4).collect()
+    assert sorted((x["n_words"], x["n_removed"], x["kept"]) for x in got) == sorted(x[1:] for x in want)
+
+
+def test_jaccard_repeated_rows_and_one_id(documents, monkeypatch):
+    """A third of all rows is one row, another third shares its id."""
+    from lodestar.llm import ngram_join
+
+    monkeypatch.setattr(ngram_join, "REPEATED_ROWS", 5)
+    r = random.Random(9)
+    text = lambda: " ".join(f"u{r.randrange(10**6)}" for _ in range(20))
+    same = text()
+    rows = [(7, same)] * 30 + [(7, text()) for _ in range(30)] + [(100 + i, text()) for i in range(29)] + [(3, same)]
+    got = {}
+    for d in jaccard_components(documents(rows)).collect():
+        got.setdefault(d["doc_id"], []).append(d["component_id"])
+    assert len(got.pop(7)) == 60 and got.pop(3) == [3] and all(v == [k] for k, v in got.items())
+
+
 def test_jaccard_nulls_and_repeated_ids(documents):
     rows = [(None, "a b c d e"), (1, "a b c d e"), (1, None), (2, "q w e r t y"), (2, "q w e r t y")]
     got = sorted((r["doc_id"] is not None, r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_components(documents(rows)).collect())
