@@ -21,17 +21,21 @@ def plan_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def partitions_for(df: DataFrame, mb: int = 8) -> int:
-    """Partitions for a plan's rows: one for each mb megabytes of input.
-
-    A smaller input gets up to the session's number, but none of under a
-    megabyte; where Catalyst doesn't know the size, the session's number counts.
+def partitions_for(df: DataFrame, mb: int = 8, most: int = 4096) -> int:
+    """Partitions for a plan's rows: one for each mb megabytes of input, and beyond `most` so many times the root of what is more.
+
+    So what chunks and hash ranges exchange, a row for each pair, grows with the
+    input and not with its square; a task's share grows with the root (100 TB:
+    235,000 partitions of 450 MB).  A smaller input gets up to the session's
+    number, but none of under a megabyte; where Catalyst doesn't know the size,
+    the session's number counts.
     """
     base = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = plan_bytes(df)
     if size > 1 << 50:
         return base
-    return max(1, min(base, math.ceil(size / (1 << 20))), math.ceil(size / (mb << 20)))
+    n = size / (mb << 20)
+    return max(1, min(base, math.ceil(size / (1 << 20))), math.ceil(n if n <= most else most * math.sqrt(n / most)))
 
 
 def written(df: DataFrame, path: str) -> DataFrame:
