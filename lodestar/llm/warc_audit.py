@@ -78,8 +78,7 @@ def tree(records: DataFrame, levels: int) -> list[DataFrame]:
 
 def differing(nodes: DataFrame) -> DataFrame:
     """Nodes whose hash is not the same in both copies, or that one copy lacks."""
-    of = lambda copy: F.max(F.when(F.col("copy") == copy, F.col("hash")))
-    return nodes.groupBy("node").agg(of(0).alias("a"), of(1).alias("b")).where(~F.col("a").eqNullSafe(F.col("b"))).select("node")
+    return nodes.groupBy("node", "hash").agg(F.count("*").alias("copies")).where("copies < 2").select("node").distinct()
 
 
 def descend(levels: list[DataFrame]) -> DataFrame:
