@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import functions as F
+
+from lodestar.checkpoints import checkpoint_dir
 from lodestar.queries.registry import Registry
 from lodestar.session import Engine
+from lodestar.sources.tables import read_files, read_table, write_files
+from lodestar.streaming import windowed_counts
 
 registry = Registry()
 sql = registry.sql
@@ -106,3 +113,31 @@ def util_explain(spark, sf_dir):
 
 registry.queries["util_explain"] = util_explain
 registry.oracles["util_explain"] = "SELECT CAST(1 AS BIGINT) AS n"
+
+
+def _files(name: str, form: str) -> None:
+    """customer written and scanned in another format; the files lie in the shared folder."""
+
+    def run(spark, sf_dir):
+        rows = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal", F.nullif("c_mktsegment", F.lit("BUILDING")).alias("segment"))
+        path = f"{checkpoint_dir(spark)}/files-{uuid.uuid4().hex}"
+        write_files(rows, path, form)
+        return read_files(spark, path, form, rows.schema).where("c_acctbal > 0")
+
+    run.__name__ = name
+    registry.queries[name] = run
+    registry.oracles[name] = "SELECT c_custkey, c_name, c_acctbal, NULLIF(c_mktsegment, 'BUILDING') AS segment FROM customer WHERE c_acctbal > 0"
+
+
+for _form in ("csv", "json", "orc"):
+    _files(f"scan_{_form}", _form)
+
+
+def stream_windowed_counts(spark, sf_dir):
+    """The streaming extension's aggregation over a table, as a batch."""
+    counts = windowed_counts(read_table(spark, sf_dir, "events"), width="6 hours")
+    return counts.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+registry.queries["stream_windowed_counts"] = stream_windowed_counts
+registry.oracles["stream_windowed_counts"] = "SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2"

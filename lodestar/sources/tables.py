@@ -18,6 +18,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def read_files(spark: SparkSession, path: str, form: str, schema: str | T.StructType, **options) -> DataFrame:
+    """CSV, JSON, ORC, text or parquet files with a given schema: nothing is read to infer one, and broken records raise."""
+    defaults = {"csv": {"header": "true", "mode": "FAILFAST"}, "json": {"mode": "FAILFAST"}}
+    return spark.read.schema(schema).options(**defaults.get(form, {}) | options).format(form).load(path)
+
+
+def write_files(df: DataFrame, path: str, form: str, **options) -> None:
+    """A result as files of a format."""
+    df.write.mode("overwrite").options(**({"header": "true"} if form == "csv" else {}) | options).format(form).save(path)
+
+
 def values(spark: SparkSession, rows: Iterable[tuple], schema: str | T.StructType) -> DataFrame:
     """Inline rows."""
     return spark.createDataFrame(list(rows), schema)
