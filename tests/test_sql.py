@@ -62,6 +62,12 @@ def test_dialect(engine, text, want):
     assert rows(engine.sql(text)) == want
 
 
+@pytest.mark.parametrize("text", ["SELECT sum(max(a)) FROM t", "SELECT a FROM t GROUP BY k", "SELECT nothing FROM t", "SELECT 1/0", "SELECT a FROM t WHERE a > ALL (SELECT a, k FROM t)"])
+def test_rejected(engine, text):
+    with pytest.raises(Exception):
+        engine.sql(text).collect()
+
+
 def test_plain_text_stays_as_it_is():
     text = "SELECT  a.b, arr[0], f(x) FROM t AS a /* note */ WHERE a.b LIKE 'x%' -- end"
     assert by_grammar(text) == text
