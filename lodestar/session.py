@@ -8,7 +8,7 @@ from lodestar.catalog import Catalog
 from lodestar.sources.tables import TABLES, read_table
 from lodestar.sql.dialect import by_grammar, by_type
 from lodestar.sql.statements import Statements
-from lodestar.sql.tokens import Group, grouped, render, split, statements
+from lodestar.sql.tokens import Group, grouped, render, split, statements, tokens
 
 
 def session_defaults(builder: SparkSession.Builder) -> SparkSession.Builder:
@@ -36,6 +36,7 @@ class Engine:
         self.catalog = Catalog(spark)
         self._statements = Statements(self.catalog, self.query)
         self._prepared: dict[str, str] = {}
+        self._args: list | dict | None = None
         if sf_dir is not None:
             self.register(sf_dir)
 
@@ -50,7 +51,9 @@ class Engine:
         self.catalog.create_table_as(name, rows)
         return self
 
-    def query(self, text: str, args: list | dict | None = None) -> DataFrame:
+    def query(self, text: str) -> DataFrame:
+        """The rows of a query in the dialect, with the parameters of the statement at hand."""
+        args = self._args if any(t.text in ("?", ":") for t in tokens(text)) else None
         run = lambda x: self.spark.sql(x, args=args or None)
         return run(by_type(by_grammar(text), run, self.spark))
 
@@ -69,8 +72,12 @@ class Engine:
         elif word == "DEALLOCATE":
             self._prepared.pop([x for x in items[1:] if x.word != "PREPARE"][0].name.lower(), None)
         else:
-            done = self._statements.run(text)
-            return done if done is not None else self.query(text, list(params) or named)
+            self._args = list(params) or named
+            try:
+                done = self._statements.run(text)
+                return done if done is not None else self.query(text)
+            finally:
+                self._args = None
         return self.spark.createDataFrame([(word,)], "status string")
 
     def execute(self, text: str) -> DataFrame | None:

@@ -175,6 +175,15 @@ def test_prepared(engine):
     assert rows(engine.sql("SELECT a FROM t WHERE k = :k ORDER BY a", k=2)) == [(9,)]
 
 
+def test_prepared_changes(farm):
+    farm.sql("PREPARE add AS INSERT INTO field (id, crop) VALUES (?, ?)")
+    farm.sql("EXECUTE add (9, 'corn')")
+    farm.sql("UPDATE field SET hectares = ?, crop = concat(crop, ?) WHERE id = ?", 7.5, "!", 9)
+    farm.sql("DELETE FROM harvest WHERE field = :f", f=1)
+    assert rows(farm.sql("SELECT crop, hectares FROM field WHERE id = 9")) == [("corn!", 7.5)]
+    assert farm.table("harvest").count() == 2
+
+
 def test_source_files_are_never_written(spark, tmp_path):
     folder = str(tmp_path / "region.parquet")
     spark.range(3).selectExpr("CAST(id AS INT) AS r_regionkey", "'x' AS r_name").write.parquet(folder)
