@@ -50,8 +50,9 @@ GROUP_TOKENS = 1 << 16
 #: Counters of the fixed-size sketch that orders tokens by frequency.
 SKETCH = 1 << 18
 SLICES = 64
-#: Tokens of the documents that ask a group together, at most about.
+#: Tokens of the documents that ask a group together, and those documents, at most about.
 ASKED_TOKENS = 1 << 17
+ASKED_DOCS = 256
 #: Rows equal in id and text beyond which they are made one before texts are placed.
 REPEATED_ROWS = 64
 
@@ -356,7 +357,7 @@ def _open(percent: int):
 def _answers(asks: DataFrame, grouped: DataFrame, bundles: DataFrame, percent: int, within: bool) -> DataFrame:
     """Edges (u, v) between documents and the groups they ask (doc_id, asked); within: also inside of each group."""
     told = asks.join(grouped.select("doc_id", "n", "tokens"), "doc_id")
-    many = told.groupBy("asked").agg(F.ceil(F.sum(F.octet_length("tokens") / 8) / ASKED_TOKENS).cast("int").alias("slices"))
+    many = told.groupBy("asked").agg(F.greatest(F.ceil(F.sum(F.octet_length("tokens") / 8) / ASKED_TOKENS), F.ceil(F.count("*") / ASKED_DOCS)).cast("int").alias("slices"))
     many = cut(many)
     told = told.join(many, "asked").withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.greatest("slices", F.lit(1))).cast("int"))
     opened = bundles.join(many, bundles["gid"] == many["asked"], "left" if within else "inner").drop("asked")
