@@ -241,19 +241,20 @@ def _joined(docs: DataFrame, benchmark: DataFrame, text: str, window: int, gram:
     known = benchmark.mapInArrow(_item_windows(window, gram, least), "k int, h long, item string")
     windows = cut(known.distinct())
     short = sorted(r["k"] for r in windows.where((F.col("k") > 0) & (F.col("k") < window)).select("k").distinct().collect())  # under `window` numbers
-    a, b, hits, items = fresh(docs, "a", "b", "hits", "items_")
-    keyed = docs.withColumns({a: F.xxhash64(text), b: F.xxhash64(F.lit("second"), F.col(f"`{text}`"))})
+    a, b, hits, items, of_a, of_b = fresh(docs, "a", "b", "hits", "items_", "of_a", "of_b")
+    keyed = docs.withColumns({a: F.xxhash64(F.col(f"`{text}`")), b: F.xxhash64(F.lit("second"), F.col(f"`{text}`"))})
     texts = keyed.select(F.col(a).alias("a"), F.col(b).alias("b"), F.col(f"`{text}`").cast("string").alias("text")).where("text is not null")
-    keys = windows.where(F.col("k") < window).select("k", "h").distinct()
+    # Semi joins of plain shuffles: AQE splits the key of a passage that a third of all documents hold.
+    keys = windows.where(F.col("k") < window).select("k", "h")
     met = texts.mapInArrow(_document_keys(window, gram, short), "a long, b long, k int, h long").join(keys, ["k", "h"], "left_semi")
     met = met.distinct().groupBy("a", "b").agg(F.collect_list(F.struct("k", "h")).alias("joined"))
     again = texts.groupBy("a", "b").agg(F.first("text").alias("text")).join(met, ["a", "b"])
     found = again.mapInArrow(_extend(window, gram), "a long, b long, k int, h long, at long")
-    found = cut(found.join(windows.where("k > 0").select("k", "h").distinct(), ["k", "h"], "left_semi"))
+    found = cut(found.join(windows.where("k > 0").select("k", "h"), ["k", "h"], "left_semi"))
     where = found.groupBy("a", "b").agg(F.collect_list(F.struct("at", "k")).alias(hits))
     which = found.select("a", "b", "k", "h").distinct().join(windows.where("k > 0"), ["k", "h"]).select("a", "b", "item").distinct()
-    both = where.join(which.groupBy("a", "b").agg(F.sort_array(F.collect_list("item")).alias(items)), ["a", "b"]).withColumnsRenamed({"a": f"{a}_of", "b": f"{b}_of"})
-    return keyed.join(both, (F.col(a) == F.col(f"{a}_of")) & (F.col(b) == F.col(f"{b}_of")), "left").select([F.col(f"`{c}`") for c in docs.columns] + [F.col(hits), F.col(items)])
+    both = where.join(which.groupBy("a", "b").agg(F.sort_array(F.collect_list("item")).alias(items)), ["a", "b"]).select(F.col("a").alias(of_a), F.col("b").alias(of_b), hits, items)
+    return keyed.join(both, (F.col(a) == F.col(of_a)) & (F.col(b) == F.col(of_b)), "left").select([F.col(f"`{c}`") for c in docs.columns] + [F.col(hits), F.col(items)])
 
 
 def _decontaminate_joined(docs: DataFrame, benchmark: DataFrame, text_col: str, window: int, gram: int, least: int) -> DataFrame:

@@ -166,7 +166,7 @@ def test_decontamination(spark, documents, seed, broadcast_chars):
             w[at:at] = chunk[r.randrange(3) : 15]
         rows.append((i, " ".join(w)))
     benchmark = spark.createDataFrame(items, "item_id long, text string")
-    got = {x["doc_id"]: (x["n_words"], x["n_hit"], list(x["items"])) for x in decontaminate(documents(rows, ["items", "spans", "a", "hits", "a_of"]), benchmark, broadcast_chars=broadcast_chars).collect()}
+    got = {x["doc_id"]: (x["n_words"], x["n_hit"], list(x["items"])) for x in decontaminate(documents(rows, ["items", "spans", "a", "hits", "of_a", "b"]), benchmark, broadcast_chars=broadcast_chars).collect()}
     assert got == {i: brute.contamination(t, items, 8) for i, t in rows}
 
 
