@@ -315,3 +315,19 @@ def bpe_decode(coded: DataFrame, ranks_path: str, pattern: str, ids_col: str = "
         return [pa.array([codec.decode(np.frombuffer(x.as_buffer() if x.is_valid else b"", dtype="<u4")) for x in ids], pa.binary())]
 
     return map_columns(coded, ids_col, columns, [T.StructField("decoded", T.BinaryType())])
+
+
+def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text") -> DataFrame:
+    """docs with n_tokens, ids and decoded: bpe_encode, and bpe_decode of its ids, in one pass through a worker.
+
+    Edge cases are those of the two.
+    """
+    shared = _share(docs.sparkSession, ranks_path)
+
+    def columns(text: pa.Array) -> list[pa.Array]:
+        codec = _codec(shared, pattern)
+        got = [g.astype("<u4").tobytes() for g in codec.encode([x or "" for x in text.to_pylist()])]
+        decoded = [codec.decode(np.frombuffer(g, dtype="<u4")) for g in got]
+        return [pa.array([len(g) // 4 for g in got], pa.int64()), pa.array(got, pa.binary()), pa.array(decoded, pa.binary())]
+
+    return map_columns(docs, text_col, columns, [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 from collections.abc import Callable
 
@@ -13,7 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from lodestar.checkpoints import checkpoint_dir, cut
 
-__all__ = ["bounded_batches", "checkpoint_dir", "cut", "fresh", "keyed_text", "map_columns", "partitions_for", "plan_bytes", "removed", "rows_for", "written"]
+__all__ = ["bounded_batches", "checkpoint_dir", "cut", "fresh", "keyed_text", "lean", "lean_pair", "map_columns", "merged", "partitions_for", "plan_bytes", "removed", "rows_for", "written"]
 
 
 def plan_bytes(df: DataFrame) -> int:
@@ -38,6 +39,16 @@ def partitions_for(df: DataFrame, mb: int = 8, most: int = 4096) -> int:
     return max(1, min(base, math.ceil(size / (1 << 20))), math.ceil(n if n <= most else most * math.sqrt(n / most)))
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """A side of a join on several columns, with a hint to merge sorted shuffles.
+
+    Left alone, AQE makes a broadcast of a small side, and each such map takes a
+    memory page (tens of megabytes) on every executor until the driver forgets it;
+    an operator of many small joins would fill the heap with them.
+    """
+    return df.hint("merge")
+
+
 def written(df: DataFrame, path: str) -> DataFrame:
     """df written as Parquet and read again."""
     df.write.mode("overwrite").parquet(path)
@@ -79,6 +90,40 @@ def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(name, str(rows))
 
 
+def give_back() -> None:
+    """Returns memory that was freed to the system.
+
+    Python workers live on from stage to stage beside the JVM: without this each
+    keeps the most that any of its tasks has needed.
+    """
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def lean(f: Callable) -> Callable:
+    """f, a function of batches that yields batches, and afterwards give_back()."""
+
+    def run(batches):
+        yield from f(batches)
+        give_back()
+
+    return run
+
+
+def lean_pair(f: Callable) -> Callable:
+    """f, a function of two tables that returns one, and afterwards give_back()."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = f(left, right)
+        give_back()
+        return out
+
+    return run
+
+
 def map_columns(docs: DataFrame, text_col: str, columns: Callable[[pa.Array], list[pa.Array]], fields: list[T.StructField]) -> DataFrame:
     """docs with new columns made from its texts, an Arrow batch at a time.
 
@@ -101,7 +146,7 @@ def map_columns(docs: DataFrame, text_col: str, columns: Callable[[pa.Array], li
                 made = [x if x.type == t else x.cast(t) for x, t in zip(columns(part.column(text_col)), types)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, *names])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def rows_for(text: pa.Array, most: int = 4 << 20) -> int:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkernel as K
-from .common import bounded_batches, cut, fresh, map_columns
+from .common import bounded_batches, cut, fresh, map_columns, merged
 
 WINDOW = 8
 GRAM = 5
@@ -246,11 +246,11 @@ def _joined(docs: DataFrame, benchmark: DataFrame, text: str, window: int, gram:
     texts = keyed.select(F.col(a).alias("a"), F.col(b).alias("b"), F.col(f"`{text}`").cast("string").alias("text")).where("text is not null")
     # Semi joins of plain shuffles: AQE splits the key of a passage that a third of all documents hold.
     keys = windows.where(F.col("k") < window).select("k", "h")
-    met = texts.mapInArrow(_document_keys(window, gram, short), "a long, b long, k int, h long").join(keys, ["k", "h"], "left_semi")
+    met = texts.mapInArrow(_document_keys(window, gram, short), "a long, b long, k int, h long").join(merged(keys), ["k", "h"], "left_semi")
     met = met.distinct().groupBy("a", "b").agg(F.collect_list(F.struct("k", "h")).alias("joined"))
     again = texts.groupBy("a", "b").agg(F.first("text").alias("text")).join(met, ["a", "b"])
     found = again.mapInArrow(_extend(window, gram), "a long, b long, k int, h long, at long")
-    found = cut(found.join(windows.where("k > 0").select("k", "h"), ["k", "h"], "left_semi"))
+    found = cut(found.join(merged(windows.where("k > 0").select("k", "h")), ["k", "h"], "left_semi"))
     where = found.groupBy("a", "b").agg(F.collect_list(F.struct("at", "k")).alias(hits))
     which = found.select("a", "b", "k", "h").distinct().join(windows.where("k > 0"), ["k", "h"]).select("a", "b", "item").distinct()
     both = where.join(which.groupBy("a", "b").agg(F.sort_array(F.collect_list("item")).alias(items)), ["a", "b"]).select(F.col("a").alias(of_a), F.col("b").alias(of_b), hits, items)

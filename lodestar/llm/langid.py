@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkernel as K
-from .common import bounded_batches, map_columns, rows_for
+from .common import bounded_batches, lean, map_columns, rows_for
 
 #: Bytes fall into 64 classes, so a trigram is one of 64**3 numbers.
 GRAMS = 64**3
@@ -158,7 +158,7 @@ def train(rows: DataFrame, text_col: str, lang_col: str) -> Model:
     if langs > MAX_LANGS:
         raise ValueError(f"training texts have over {MAX_LANGS} languages: the column of languages is not clean")
     used = rows.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and text is not null")
-    sums = used.mapInArrow(count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    sums = used.mapInArrow(lean(count), "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts: dict[str, np.ndarray] = {}
     table = sums.toArrow()  # at most 64**3 rows a language
     lang = np.array(table["lang"].to_pylist(), dtype=object)

@@ -30,7 +30,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, fresh
+from .common import cut, fresh, merged
 
 MIN_WORDS = 8
 #: The first ranks are offsets of this many hash ranges plus the order within one.
@@ -63,9 +63,9 @@ def _doubled(ranks: DataFrame, step: int, width: int) -> DataFrame:
     totals = counts.groupBy("rank", "range").agg(F.sum("n").alias("total"))
     offsets = totals.select("rank", "range", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("offset"))
     inside = Window.partitionBy("rank", "range").orderBy("next").rowsBetween(Window.unboundedPreceding, -1)
-    placed = counts.withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(offsets, ["rank", "range"])
+    placed = counts.withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(merged(offsets), ["rank", "range"])
     new = placed.select("rank", "next", (F.col("rank") + F.col("offset") + F.col("inside")).alias("new"))
-    return pairs.join(new, ["rank", "next"]).select("doc", "hash", "pos", F.col("new").alias("rank"))
+    return pairs.join(merged(new), ["rank", "next"]).select("doc", "hash", "pos", F.col("new").alias("rank"))
 
 
 def _tight_windows(active: DataFrame, min_words: int) -> DataFrame:
@@ -92,10 +92,10 @@ def _later(windows: DataFrame, ranks: DataFrame, size: int) -> DataFrame:
     due = windows.where((F.col("m") >= size) & (F.col("m") < 2 * size))
     at = lambda pos, name: ranks.select("doc", "hash", F.col("pos").alias(pos), F.col("rank").alias(name))
     due = due.withColumn("second", F.col("start") + F.col("m") - size)
-    due = due.join(at("start", "head"), ["doc", "hash", "start"]).join(at("second", "tail"), ["doc", "hash", "second"])
+    due = due.join(merged(at("start", "head")), ["doc", "hash", "start"]).join(merged(at("second", "tail")), ["doc", "hash", "second"])
     first = due.groupBy("head", "tail", "m").agg(F.min(F.struct("doc", "hash", "start")).alias("first")).select("first.*", "m")
     # Windows have keys of their own, so an interval of a third of all windows is no key of this join.
-    return due.join(first, ["doc", "hash", "start", "m"], "left_anti").select("doc", "hash", "start", "m")
+    return due.join(merged(first), ["doc", "hash", "start", "m"], "left_anti").select("doc", "hash", "start", "m")
 
 
 def later_copies(docs: DataFrame, min_words: int) -> DataFrame:
@@ -104,7 +104,7 @@ def later_copies(docs: DataFrame, min_words: int) -> DataFrame:
     lines = docs.where("text is not null").select("doc", "hash", line.alias("pos", "line"))
     a, b = F.xxhash64("line").alias("a"), F.xxhash64(F.lit("second"), "line").alias("b")
     repeated = _first_ranks(lines.select(a, b, F.regexp_count("line", F.lit(_WORD)).alias("words")))
-    active = lines.select("doc", "hash", "pos", a, b).join(repeated, ["a", "b"]).select("doc", "hash", "pos", "rank", "words")
+    active = lines.select("doc", "hash", "pos", a, b).join(merged(repeated), ["a", "b"]).select("doc", "hash", "pos", "rank", "words")
     # Rows equal in id and text are one document.
     active = cut(active.dropDuplicates(["doc", "hash", "pos"]))
     windows = cut(_tight_windows(active, min_words))
@@ -161,7 +161,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     read = docs.select(key.alias("doc"), F.xxhash64(text).alias("hash"), text.alias("text"))
     runs = later_copies(read, min_words).select(F.struct("doc", "hash").alias(of), F.col("runs").alias(found))
     lines = F.split(text, "\n")
-    joined = docs.withColumn(own, F.struct(key.alias("doc"), F.xxhash64(text).alias("hash"))).join(runs, F.col(own) == F.col(of), "left")
+    joined = docs.withColumn(own, F.struct(key.alias("doc"), F.xxhash64(text).alias("hash"))).join(merged(runs), F.col(own) == F.col(of), "left")
     gone = F.coalesce(F.aggregate(found, F.lit(0), lambda n, r: n + r["end"] - r["start"]), F.lit(0))
     kept = F.when(F.col(found).isNull(), text).otherwise(F.array_join(_without(lines, F.col(found)), "\n"))
     return joined.select(

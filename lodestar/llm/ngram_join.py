@@ -40,13 +40,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import bounded_batches, cut, keyed_text, partitions_for
+from .common import bounded_batches, cut, keyed_text, lean, lean_pair, merged, partitions_for
 from .substring_dedup import BUCKETS_EACH, CHUNKS_EACH, _bucket, _pack, _unpack
 
 SHINGLE = 4
 PERCENT = 85
 #: Shared tokens of one group of the matrix, at most about (8 bytes each).
 GROUP_TOKENS = 1 << 16
+#: Documents of one group, at most about.
+GROUP_DOCS = 256
 #: Counters of the fixed-size sketch that orders tokens by frequency.
 SKETCH = 1 << 18
 SLICES = 64
@@ -415,9 +417,9 @@ def _second_turn(prefixes: DataFrame, known: DataFrame, asked: DataFrame, percen
     fits = (100 * F.col("hi") >= percent * F.col("lo_b")) & (100 * F.col("hi_b") >= percent * F.col("lo"))
     smaller = (F.col("docs") < F.col("docs_b")) | ((F.col("docs") == F.col("docs_b")) & (F.struct("pure", "id") < F.struct("pure_b", "id_b")))
     pairs = sides.join(other, "token").where(fits & smaller).select("token", "pure", "id", F.explode("gids_b").alias("asked"))
-    askers = rows.select("token", "gid", "doc_id").join(of_group.select("token", "gid", "pure", "id"), ["token", "gid"])
-    asks = askers.join(pairs, ["token", "pure", "id"]).where("gid <> asked").select("doc_id", "asked").distinct()
-    return cut(asks.join(asked, ["doc_id", "asked"], "left_anti"))
+    askers = rows.select("token", "gid", "doc_id").join(merged(of_group.select("token", "gid", "pure", "id")), ["token", "gid"])
+    asks = askers.join(merged(pairs), ["token", "pure", "id"]).where("gid <> asked").select("doc_id", "asked").distinct()
+    return cut(asks.join(merged(asked), ["doc_id", "asked"], "left_anti"))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -439,7 +441,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     least = F.lit(-(2**63)).cast("long")
     # null ids take the smallest long inside
     rows = rows.select(F.coalesce("doc_id", least).alias("doc_id"), F.xxhash64("text").alias("h"), "text")
-    each = cut(rows.mapInArrow(_describe(shingle), "doc_id long, h long, n long, fa long, fb long"))
+    each = cut(rows.mapInArrow(lean(_describe(shingle)), "doc_id long, h long, n long, fa long, fb long"))
     classes = each.where("n > 0").groupBy("fa", "fb", "n").agg(F.min(F.struct("doc_id", "h")).alias("first")).select("fa", "fb", "n", "first.*")
     # A chunk is a part of the hash of id and text, so an id that many rows share is no chunk's alone.
     chunk_of = F.pmod(F.xxhash64("doc_id", "h"), F.lit(chunks)).cast("int").alias("chunk")
@@ -447,10 +449,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         rows = rows.dropDuplicates(["doc_id", "h"])
     placed = rows.select(chunk_of, "doc_id", "text").repartition(n, "chunk")
     reps = classes.select(chunk_of, "doc_id", "fa", F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("long").alias("m"), F.lit(None).cast("binary").alias("bits"))
-    sent = placed.groupBy("chunk").cogroup(reps.groupBy("chunk")).applyInArrow(_send(shingle, buckets), "chunk int, bucket int, hashes binary")
-    marks = sent.repartitionById(buckets, F.col("bucket")).mapInArrow(_mark, "chunk int, bucket int, m long, bits binary")
+    sent = placed.groupBy("chunk").cogroup(reps.groupBy("chunk")).applyInArrow(lean_pair(_send(shingle, buckets)), "chunk int, bucket int, hashes binary")
+    marks = sent.repartitionById(buckets, F.col("bucket")).mapInArrow(lean(_mark), "chunk int, bucket int, m long, bits binary")
     marks = marks.select("chunk", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("fa"), "bucket", "m", "bits")
-    survivors = placed.groupBy("chunk").cogroup(reps.union(marks).groupBy("chunk")).applyInArrow(_survive(shingle, buckets, percent), "doc_id long, n long, tokens binary")
+    survivors = placed.groupBy("chunk").cogroup(reps.union(marks).groupBy("chunk")).applyInArrow(lean_pair(_survive(shingle, buckets, percent)), "doc_id long, n long, tokens binary")
     survivors = cut(survivors)
 
     counts = survivors.mapInArrow(_sketch, "slice int, counts binary").groupBy("slice").applyInArrow(_add, "slice int, counts binary")
@@ -461,11 +463,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     # groups of similar documents: by their smallest token, cut by token count
     keyed = survivors.select("doc_id", "n", "tokens", F.xxhash64(F.substring("tokens", 1, 8)).alias("least"))
-    sizes = keyed.groupBy("least").agg(F.ceil(F.sum(F.octet_length("tokens") / 8) / GROUP_TOKENS).alias("parts"))
+    sizes = keyed.groupBy("least").agg(F.greatest(F.ceil(F.sum(F.octet_length("tokens") / 8) / GROUP_TOKENS), F.ceil(F.count("*") / GROUP_DOCS)).alias("parts"))
     grouped = keyed.join(sizes, "least").select("doc_id", "n", "tokens", F.xxhash64("least", F.pmod(F.xxhash64("doc_id"), F.greatest("parts", F.lit(1)))).alias("gid"))
     grouped = cut(grouped)
     bundles = cut(grouped.groupBy("gid").applyInArrow(_bundle, "gid long, ids array<long>, sizes array<long>, lengths array<long>, tokens binary, union binary"))
-    prefixes = cut(grouped.select("gid", "doc_id", "n", "tokens").mapInArrow(_prefixes(sketch, percent), "token long, gid long, doc_id long, n long"))
+    prefixes = cut(grouped.select("gid", "doc_id", "n", "tokens").mapInArrow(lean(_prefixes(sketch, percent)), "token long, gid long, doc_id long, n long"))
     # The first turn: all of a token's documents ask the first of its groups.
     first = cut(prefixes.groupBy("token").agg(F.min("gid").alias("asked"), F.max("gid").alias("last")).where("asked <> last").select("token", "asked"))
     asked = cut(prefixes.join(first, "token").where("gid <> asked").select("doc_id", "asked").distinct())
@@ -474,14 +476,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     asks = _second_turn(prefixes, known, asked, percent)
     links = _answers(asks, grouped, bundles, percent, False)
     of = lambda c: known.select(F.col("node").alias(c), F.col("component").alias(f"{c}_"))
-    merged = components(links.join(of("u"), "u", "left").join(of("v"), "v", "left").select(F.coalesce("u_", "u").alias("u"), F.coalesce("v_", "v").alias("v")))
-    merged = cut(merged.select(F.col("node").alias("component"), F.col("component").alias("top")))
-    comp = known.join(merged, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
-    comp = comp.unionAll(merged.select(F.col("component").alias("node"), F.col("top").alias("component")).join(known, "node", "left_anti"))
+    tops = components(links.join(of("u"), "u", "left").join(of("v"), "v", "left").select(F.coalesce("u_", "u").alias("u"), F.coalesce("v_", "v").alias("v")))
+    tops = cut(tops.select(F.col("node").alias("component"), F.col("component").alias("top")))
+    comp = known.join(tops, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+    comp = comp.unionAll(tops.select(F.col("component").alias("node"), F.col("top").alias("component")).join(known, "node", "left_anti"))
 
     of_class = classes.join(comp.select(F.col("node").alias("doc_id"), F.col("component")), "doc_id", "left").select("fa", "fb", "n", F.coalesce("component", "doc_id").alias("component"))
     # Empty documents are in no class; they stay out of the join, where they would meet in one key.
-    out = each.where("n > 0").join(of_class, ["fa", "fb", "n"]).select("doc_id", "n", "component")
+    out = each.where("n > 0").join(merged(of_class), ["fa", "fb", "n"]).select("doc_id", "n", "component")
     out = out.union(each.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component")))
     back = lambda c: F.when(F.col(c) != least, F.col(c))
     return out.select(back("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"), back("component").alias("component_id"))

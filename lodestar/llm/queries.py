@@ -183,8 +183,7 @@ def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
-    coded = bpe.bpe_encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, pattern)
-    out = bpe.bpe_decode(coded.select("doc_id", "n_tokens", "ids"), ranks, pattern)
+    out = bpe.bpe_round_trip(_table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, pattern)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

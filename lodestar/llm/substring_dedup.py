@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import bounded_batches, keyed_text, partitions_for
+from .common import bounded_batches, keyed_text, lean, lean_pair, partitions_for
 
 WINDOW = 20
 #: Chunks for each shuffle partition, so that hashing chunks to partitions is even.
@@ -220,7 +220,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = rows.withColumn("chunk", chunk_of("doc_id", "h")).repartition(n, "chunk")
     buckets = BUCKETS_EACH * n
     # All columns go in, unused ones too: the exchange below is then the same as that of the last step, and runs once.
-    sent = rows.sortWithinPartitions("chunk").mapInArrow(_send(window, buckets), "chunk int, bucket int, hashes binary")
-    marks = sent.repartitionById(buckets, F.col("bucket")).mapInArrow(_mark, "chunk int, bucket int, n long, bits binary")
-    keep = _keep(window, buckets)
+    sent = rows.sortWithinPartitions("chunk").mapInArrow(lean(_send(window, buckets)), "chunk int, bucket int, hashes binary")
+    marks = sent.repartitionById(buckets, F.col("bucket")).mapInArrow(lean(_mark), "chunk int, bucket int, n long, bits binary")
+    keep = lean_pair(_keep(window, buckets))
     return rows.groupBy("chunk").cogroup(marks.groupBy("chunk")).applyInArrow(keep, "doc_id long, n_words long, n_removed long, kept string")

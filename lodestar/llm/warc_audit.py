@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, merged
 
 #: Bytes of one leaf's range.
 RANGE_BYTES = 1 << 16
@@ -107,7 +107,7 @@ def audit(primary: DataFrame, replica: DataFrame, id_col: str = "page_id", url_c
     node = F.shiftleft(F.col("file"), RANGE_BITS + 1) + F.col("range")
     ours = cut(plan.withColumn("range", 1 + F.floor(F.col("offset") / RANGE_BYTES)).withColumn("node", node))
     known = ours.select("id", "nth", "file", "offset", "range")
-    theirs = digests(replica, id_col, url_col, body_col).join(known, ["id", "nth"], "left")
+    theirs = digests(replica, id_col, url_col, body_col).join(merged(known), ["id", "nth"], "left")
     # unknown records: range 0 of the file their id hashes to, so they spread over as many leaves as there are files
     theirs = theirs.withColumns({"file": F.coalesce("file", F.pmod(F.xxhash64("id"), F.lit(files))), "range": F.coalesce("range", F.lit(0).cast("long")), "offset": F.coalesce("offset", F.lit(-1).cast("long"))})
     theirs = cut(theirs.withColumn("node", node))

@@ -405,7 +405,9 @@ def test_frames(spark, documents, reference):
     for r in out:
         ids = reference.encode_ordinary(r["text"] or "")
         assert (r["n_tokens"], bytes(r["ids"]), bytes(r["decoded"])) == (len(ids), np.array(ids, "<u4").tobytes(), (r["text"] or "").encode())
-    assert bpe.bpe_encode(documents([]), RANKS, PATTERN).count() == 0
+    both = bpe.bpe_round_trip(documents(rows, ["ids", "decoded"]), RANKS, PATTERN).select("doc_id", "n_tokens", "ids", "decoded").collect()
+    assert sorted(map(str, both)) == sorted(str(r) for r in bpe.bpe_decode(coded, RANKS, PATTERN).select("doc_id", "n_tokens", "ids", "decoded").collect())
+    assert bpe.bpe_encode(documents([]), RANKS, PATTERN).count() == bpe.bpe_round_trip(documents([]), RANKS, PATTERN).count() == 0
 
 
 def test_registered_tokens(spark, sf_dir, reference):
