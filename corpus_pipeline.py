@@ -89,8 +89,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     table stays empty.
     """
     ranks, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
-    coded = bpe.bpe_encode(docs.select("doc_id", "text"), ranks, pattern)
-    out = bpe.bpe_decode(coded.select("doc_id", "n_tokens", "ids"), ranks, pattern)
+    out = bpe.bpe_round_trip(docs.select("doc_id", "text"), ranks, pattern)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
