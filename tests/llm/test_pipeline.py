@@ -9,7 +9,9 @@ import public_tokenizers
 import tiktoken
 
 import corpus_pipeline as P
+from lodestar.llm.common import written
 from tests.llm import brute
+from tests.test_checkpoints import _grouped, _shuffles, _within
 
 
 def test_run(spark, tmp_path, sf_dir):
@@ -113,3 +115,10 @@ def test_no_folder_of_one_machine_on_a_cluster(spark, monkeypatch):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         common.checkpoint_dir(Elsewhere)
+
+
+def test_shuffle_files_go_with_what_is_written(spark, tmp_path):
+    before = _shuffles(spark)
+    assert written(_grouped(spark), str(tmp_path / "out")).count() == 10
+    own = lambda: _shuffles(spark) - before
+    assert _within(5, lambda: len(own()) <= 1)  # count()'s own stays
