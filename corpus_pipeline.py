@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm import bpe, decontaminate, langid, line_dedup, ngram_join
-from lodestar.llm.common import checkpoint_dir, removed, written
+from lodestar.llm.common import checkpoint_dir, cut, removed, written
 from lodestar.llm.queries import RANKS
 
 #: As a near duplicate is one of a similarity of 0.8.
@@ -64,7 +64,8 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     found = ngram_join.jaccard_components(keyed, id_col="key", shingle=5, percent=80).select(F.col("doc_id").alias("key"), "component_id").distinct()
     held = keyed.groupBy("key", "doc_id").agg(F.count("*").alias("rows"))
     first = held.join(found, "key").groupBy("component_id").agg(F.min(F.struct("doc_id", "key", "rows")).alias("first"))
-    stay = first.select(F.col("first.key").alias("kept_key"), F.col("first.rows").alias("kept_rows"))
+    # Cut, so that the last plan is the two joins below and not the join's own end twice over.
+    stay = cut(first.select(F.col("first.key").alias("kept_key"), F.col("first.rows").alias("kept_rows")))
     kept = keyed.join(stay.where("kept_rows = 1"), F.col("key") == F.col("kept_key"), "left_semi")
     copies = keyed.join(stay.where("kept_rows > 1"), F.col("key") == F.col("kept_key"), "left_semi").dropDuplicates(["key"])
     return kept.unionAll(copies).select(*COLUMNS)

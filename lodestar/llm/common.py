@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from lodestar.checkpoints import checkpoint_dir, cut, freed
+from lodestar.checkpoints import checkpoint_dir, cut, freed, tidy
 
 __all__ = ["bounded_batches", "checkpoint_dir", "cut", "fresh", "keyed_text", "lean", "lean_pair", "map_columns", "merged", "partitions_for", "plan_bytes", "removed", "rows_for", "written"]
 
@@ -53,6 +53,8 @@ def written(df: DataFrame, path: str) -> DataFrame:
     """df written as Parquet and read again."""
     with freed(df) as own:
         own.write.mode("overwrite").parquet(path)
+    del own
+    tidy(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

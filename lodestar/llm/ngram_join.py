@@ -482,6 +482,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     comp = comp.unionAll(tops.select(F.col("component").alias("node"), F.col("top").alias("component")).join(known, "node", "left_anti"))
 
     of_class = classes.join(comp.select(F.col("node").alias("doc_id"), F.col("component")), "doc_id", "left").select("fa", "fb", "n", F.coalesce("component", "doc_id").alias("component"))
+    of_class = cut(of_class)  # so the caller's plan, which runs all its shuffles at once, has one join of this operator
     # Empty documents are in no class; they stay out of the join, where they would meet in one key.
     out = each.where("n > 0").join(merged(of_class), ["fa", "fb", "n"]).select("doc_id", "n", "component")
     out = out.union(each.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component")))

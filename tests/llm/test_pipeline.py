@@ -10,6 +10,7 @@ import tiktoken
 
 import corpus_pipeline as P
 from lodestar.llm.common import written
+from lodestar.plans import explain
 from tests.llm import brute
 from tests.test_checkpoints import _grouped, _shuffles, _within
 
@@ -117,6 +118,13 @@ def test_no_folder_of_one_machine_on_a_cluster(spark, monkeypatch):
         common.checkpoint_dir(Elsewhere)
 
 
+def test_the_jaccard_stage_ends_in_a_small_plan(spark, documents, tmp_path):
+    rows = [(i, f"{'one two three four five six seven eight nine ten ' * 3}{i % 3}") for i in range(30)]
+    text = explain(P.jaccard_join(spark, documents(rows), str(tmp_path)), "simple")
+    # Only the two joins with the keys that stay are left, and the removal of copies.
+    assert text.count("Join") == 2 and text.count("Exchange hashpartitioning") <= 5
+
+
 def test_shuffle_files_go_with_what_is_written(spark, tmp_path):
     before = _shuffles(spark)
     assert written(_grouped(spark), str(tmp_path / "out")).count() == 10

@@ -1,5 +1,6 @@
 """What cut() leaves behind: nothing of the plan that was run."""
 
+import gc
 import time
 
 from pyspark.sql import functions as F
@@ -31,3 +32,15 @@ def test_shuffle_files_go_with_the_cut(spark):
     assert kept.agg(F.sum("count"), F.count("*")).first()[:] == (1000, 10)
     assert df.agg(F.sum("count")).first()[0] == 1000  # the plan itself can be run again
     assert spark.conf.get(checkpoints.FREES) == "false"
+
+
+def test_a_grown_heap_is_collected(spark, monkeypatch):
+    collections = lambda: sum(x.getCollectionCount() for x in spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if "Old" in x.getName() or "MarkSweep" in x.getName())
+    gc.collect()
+    monkeypatch.setattr(checkpoints, "HEAP_SHARE", 1.1)
+    before = collections()
+    checkpoints.tidy(spark)
+    assert collections() == before
+    monkeypatch.setattr(checkpoints, "HEAP_SHARE", 0.0)
+    checkpoints.cut(_grouped(spark))
+    assert collections() > before
