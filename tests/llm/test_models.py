@@ -357,6 +357,72 @@ def test_many_lists_by_two_steps(spark, monkeypatch):
     assert hits >= 0.9 * 400
 
 
+def exact_of(x, every, k=10):
+    """{query: its k nearest ids} by brute force."""
+    ids = np.array(sorted(x))
+    v = np.array([x[i] for i in ids])
+    out = {}
+    for i, q in zip(ids, v):
+        if i % every == 0:
+            d = np.sqrt(((v - q) ** 2).sum(axis=1))
+            d[ids == i] = np.inf
+            out[i] = ids[np.lexsort((ids, d))[:k]].tolist()
+    return out
+
+
+def found_in(rows):
+    out = {}
+    for y in sorted(rows, key=lambda y: (y["query_id"], y["rank"])):
+        out.setdefault(y["query_id"], []).append(y["vec_id"])
+    return out
+
+
+def between_clusters(n=2000, every=20):
+    """Tight clusters, and queries that lie between them: their neighbours are in many lists."""
+    r = np.random.default_rng(3)
+    centres = r.normal(size=(30, 16))
+    return {i: (0.3 * r.normal(size=16) if i % every == 0 else centres[i % 30] + 0.05 * r.normal(size=16)).tolist() for i in range(n)}
+
+
+def rare_and_tight(n=4000):
+    """A twentieth of the rows lies so close together that few codes tell it apart."""
+    r = np.random.default_rng(4)
+    return {i: (3 + 1e-5 * r.normal(size=32) if i % 20 == 0 else r.normal(size=32)).tolist() for i in range(n)}
+
+
+@pytest.mark.parametrize("rows", [between_clusters, rare_and_tight])
+def test_all_nearest_whatever_the_rows(spark, monkeypatch, rows):
+    monkeypatch.setattr(ann, "ROWS_A_LIST", 200)
+    monkeypatch.setattr(ann, "RERANK", 20)
+    x = rows()
+    df = spark.createDataFrame(list(x.items()), "vec_id long, embedding array<double>").repartition(3)
+    assert found_in(ann.nearest_neighbours(df, every=20).collect()) == exact_of(x, 20)
+
+
+def test_lists_by_what_some_queries_need(spark, monkeypatch):
+    """With more queries than the check may take, the others open as many lists as those need."""
+    monkeypatch.setattr(ann, "ROWS_A_LIST", 200)
+    monkeypatch.setattr(ann, "EXACT_PAIRS", 1)
+    monkeypatch.setattr(ann, "CALIBRATION_QUERIES", 25)
+    x = between_clusters()
+    df = spark.createDataFrame(list(x.items()), "vec_id long, embedding array<double>")
+    index = ann.build_index(df)
+    queries = index.rows.where("vec_id % 20 = 0").selectExpr("vec_id AS query_id", "vector")
+    checked, lists = ann.check_all(index, queries, 10)
+    assert checked.select("query_id").distinct().count() == 25 and index.shared.value.probes < lists <= index.lists
+    got, exact = found_in(ann.search(index, queries).collect()), exact_of(x, 20)
+    assert set(got) == set(exact)
+    assert sum(len({*got[q]} & {*exact[q]}) for q in exact) >= 0.9 * 10 * len(exact)
+
+
+def test_ids_of_many_vectors(spark):
+    """Neither rows of one id and vector nor one id's many vectors take the place of other ids."""
+    rows = [(0, [0.0, 1.0])] + [(5, [0.0, 2.0])] * 30 + [(6 + i, [0.0, 2.0]) for i in range(3)]
+    rows += [(9, [0.0, 2.0 + i / 100]) for i in range(1, 40)] + [(10 + i, [0.0, 4.0 + i]) for i in range(20)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert found_in(ann.nearest_neighbours(df).collect()) == {0: [5, 6, 7, 8, 9, 10, 11, 12, 13, 14]}
+
+
 # -- tokens ----------------------------------------------------------------------
 
 
