@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from lodestar.operators import relational as R
 from lodestar.plans import explain, operators, pushed_filters
-from lodestar.queries import QUERIES
+from lodestar.queries import ORACLES, QUERIES
+from tests.compare import assert_same
 
 
 def test_filter_and_columns_reach_the_scan(spark, sf_dir):
@@ -25,6 +26,21 @@ def test_top_n_per_group_limits_before_the_shuffle(spark, sf_dir):
     assert text.count("WindowGroupLimit") == 2
 
 
+def test_rows_that_a_join_multiplies_are_dealt_over_tasks(spark, sf_dir, tmp_path):
+    """One small file of 9,000 customers is one task to read, but not one task to join."""
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    n = customers.count()
+    copies = customers.crossJoin(spark.range(-(-9000 // n))).withColumn("c_custkey", F.col("c_custkey") + n * F.col("id")).drop("id")
+    copies.coalesce(1).write.parquet(f"{tmp_path}/customer.parquet.d")
+    (file,) = (tmp_path / "customer.parquet.d").glob("*.parquet")
+    file.rename(tmp_path / "customer.parquet")
+    spark.read.parquet(f"{sf_dir}/supplier.parquet").toPandas().to_parquet(f"{tmp_path}/supplier.parquet")
+    df = QUERIES["join_null_keys"](spark, str(tmp_path))
+    tasks = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(tasks) == 3 and max(tasks) < 0.5 * sum(tasks)
+    assert_same(df, str(tmp_path), ORACLES["join_null_keys"])
+
+
 def test_semi_join(spark, sf_dir):
     assert "LeftSemi" in explain(QUERIES["subq_exists"](spark, sf_dir), "simple")
 
